@@ -5,16 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import mixing
+from lakesift.llm import licenses, mixing, warc
 from lakesift.llm.common import table
 
 
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("capture_id", "page_id")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
 QUERIES = {
+    "op2_warc_transactions": op2_warc_transactions,
+    "op4_license_scan": op4_license_scan,
     "op8_mix_sources": op8_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_transactions": """
+with p as (
+    select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as hex,
+           min(page_id) over (partition by coalesce(html, '')) as head
+    from pages
+)
+select page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(hex, cast(5 * (i // 4) + 1 as bigint), 5))::int >> cast(15 - 5 * (i % 4) as int)) & 31), 1)), 'string_agg', '') as payload_digest,
+       case when page_id is not distinct from head then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from head then head end as refers_to
+from p""",
+    "op4_license_scan": licenses.scan_sql(),
+}
