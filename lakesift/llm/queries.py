@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import licenses, mixing, warc
+from lakesift.llm import jaccard, licenses, mixing, warc
 from lakesift.llm.common import table
 
 
@@ -21,10 +21,15 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_warc_transactions": op2_warc_transactions,
     "op4_license_scan": op4_license_scan,
     "op8_mix_sources": op8_mix_sources,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
