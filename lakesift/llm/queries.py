@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import jaccard, licenses, mixing, warc
+from lakesift.llm import jaccard, licenses, linedup, mixing, warc
 from lakesift.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.classes(table(spark, sf_dir, "documents")).withColumnRenamed("first_id", "first_doc_id")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
@@ -28,6 +32,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc_transactions": op2_warc_transactions,
     "op4_license_scan": op4_license_scan,
+    "op7_line_edit_join": op7_line_edit_join,
     "op8_mix_sources": op8_mix_sources,
     "op10_jaccard_join": op10_jaccard_join,
 }
