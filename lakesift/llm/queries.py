@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import jaccard, licenses, linedup, mixing, substrings, warc
+from lakesift.llm import jaccard, licenses, linedup, mixing, quality, substrings, warc
 from lakesift.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.classes(table(spark, sf_dir, "documents")).withColumnRenamed("first_id", "first_doc_id")
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op2_warc_transactions": op2_warc_transactions,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_license_scan": op4_license_scan,
+    "op5_quality_trees": op5_quality_trees,
     "op7_line_edit_join": op7_line_edit_join,
     "op8_mix_sources": op8_mix_sources,
     "op10_jaccard_join": op10_jaccard_join,

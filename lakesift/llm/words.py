@@ -52,16 +52,21 @@ class Texts:
         self.end = np.flatnonzero(blank & ~before)
         if lower:
             data = LOWER[data]
-        there, back = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * there[: len(data)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * back[self.start]
-        self.hash = mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        self.bytes = data
+        there, self._back = powers(len(data) + 1)
+        self._total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * there[: len(data)], out=self._total[1:])
+        self.hash = self.hash_of(self.start, self.end)
         bounds = np.zeros(len(raw) + 1, np.int64)
         np.cumsum([len(r) + 1 for r in raw], out=bounds[1:])
         self.first = np.searchsorted(self.start, bounds)
         self.bounds = bounds
 
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from ``start`` to ``end``, each."""
+        h = (self._total[end] - self._total[start]) * self._back[start]
+        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
     def shingles(self, k: int) -> np.ndarray:
         """At each word the hash of the ``k`` words from there (garbage where they pass the text's end)."""
         h = self.hash
