@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import jaccard, licenses, linedup, mixing, quality, substrings, warc
+from lakesift.llm import jaccard, licenses, linedup, mixing, quality, substrings, toxicity, warc
 from lakesift.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op9_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op5_quality_trees": op5_quality_trees,
     "op7_line_edit_join": op7_line_edit_join,
     "op8_mix_sources": op8_mix_sources,
+    "op9_toxic_spans": op9_toxic_spans,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
