@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 ODD = 0x9E3779B97F4A7C15  # odd: has an inverse modulo 2**64
 INVERSE = pow(ODD, -1, 1 << 64)
@@ -38,6 +42,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about ``most`` bytes of ``column``, a row at least: bounds what numpy holds at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(sizes, dtype=np.int64)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 class Texts:
     """Words of a batch: ``hash`` of each, ``start``/``end`` byte offsets in ``data``, ``first`` word of each text (one more at the end)."""
 
