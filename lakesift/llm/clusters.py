@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm.common import stash
+from lakesift.llm.words import pieces
 
 #: Members of a cluster that one unit holds, about.
 CHUNK = 64
@@ -70,7 +71,7 @@ def _by_unit(link: Callable) -> Callable:
                 a.append(x)
                 b.append(y)
 
-        for batch in batches:
+        for batch in pieces(batches, "payload"):
             for u, node, comp, payload in zip(*(batch.column(c).to_pylist() for c in ("unit", "node", "comp", "payload")), strict=True):
                 if u != unit:
                     close()
