@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import jaccard, licenses, linedup, mixing, quality, substrings, toxicity, warc
+from lakesift.llm import decontaminate, imatch, jaccard, licenses, linedup, mixing, quality, substrings, toxicity, warc
 from lakesift.llm.common import table
 
 
+def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("capture_id", "page_id")
 
@@ -25,6 +29,10 @@ def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.classes(table(spark, sf_dir, "documents")).withColumnRenamed("first_id", "first_doc_id")
 
@@ -42,10 +50,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_imatch_fingerprints": op1_imatch_fingerprints,
     "op2_warc_transactions": op2_warc_transactions,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_quality_trees": op5_quality_trees,
+    "op6_benchmark_windows": op6_benchmark_windows,
     "op7_line_edit_join": op7_line_edit_join,
     "op8_mix_sources": op8_mix_sources,
     "op9_toxic_spans": op9_toxic_spans,
@@ -53,6 +63,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_imatch_fingerprints": imatch.fingerprints_sql(),
     "op2_warc_transactions": """
 with p as (
     select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as hex,
