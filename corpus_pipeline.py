@@ -1,13 +1,57 @@
-"""The corpus pipeline: documents through the operators, stage by stage."""
+"""The corpus pipeline: documents through five operators, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last
+return the columns of ``documents``.  ``run`` keeps no stage in memory: each is written to shared
+storage and read again, as a production run would do.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from lakesift.llm import decontaminate, jaccard, linedup, mixing, toxicity
+from lakesift.llm.common import stash, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with toxic spans go (score of 0.5 or more)."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three documents or more share, up to a few edits, stay in the first only; no document goes."""
+    return linedup.drop_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by a Jaccard similarity of 0.8 or more over 5-word shingles, that with the smallest id stays."""
+    return jaccard.keep_one(docs, width=5, num=80, den=100)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each copy that the mix takes, with its ``rate`` and the number of the ``copy``."""
+    return mixing.sample(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark),
+    ("mixing sources", mix_sources),
+]
+
+#: The stages learn, cluster and solve; SQL cannot express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

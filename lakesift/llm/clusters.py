@@ -6,7 +6,6 @@ are dealt out in units of bounded size, and inside a unit pairs that are linked
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 from lakesift.llm.common import stash
 from lakesift.llm.words import pieces
 
-#: Members of a cluster that one unit holds, about.
-CHUNK = 64
+#: Members of a cluster that one unit of the first round holds, about; chunks of the second round, and their bytes.
+CHUNK, WIDE, WIDE_BYTES = 64, 512, 8 << 20
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -98,10 +97,10 @@ def verified_links(members: DataFrame, link: Callable) -> DataFrame:
     ``link`` gets a unit's ``(node, comp, payload)`` and yields links; it may leave out pairs with equal
     ``comp`` (not null) and pairs that its earlier links connect.  A cluster of up to CHUNK members is one
     unit.  A larger one is dealt into chunks by hash, each with the cluster's pivots as company; whatever
-    these links leave apart from the cluster's largest part then meets every chunk.
+    these links leave apart from the cluster's largest part then meets every (wider) chunk.
     """
     members = stash(members, "members")
-    sizes = stash(members.groupBy("cluster").agg(F.count("*").alias("m"), F.min("node").alias("p"), F.max("node").alias("q")), "cluster-sizes")
+    sizes = stash(members.groupBy("cluster").agg(F.count("*").alias("m"), F.min("node").alias("p"), F.max("node").alias("q"), F.sum(F.octet_length("payload")).alias("bytes")), "cluster-sizes")
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     chunk = F.pmod(F.xxhash64("node", F.lit(7)), chunks).cast("int")
     pivot = F.col("node").isin(F.col("p"), F.col("q"))
@@ -109,22 +108,23 @@ def verified_links(members: DataFrame, link: Callable) -> DataFrame:
     dealt = members.join(sizes, "cluster").withColumn("chunk", chunk)
     first = dealt.withColumn("at", F.explode(F.when(pivot, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array("chunk")))).withColumn("comp", F.lit(None).cast("string"))
     links = stash(_linked(first.withColumn("unit", unit("at")), link), "links")
-    large = sizes.filter(F.col("m") > CHUNK)
+    large = sizes.filter(F.col("m") > CHUNK).select("cluster", F.ceil(F.greatest(F.col("m") / WIDE, F.col("bytes") / WIDE_BYTES)).cast("int").alias("wide"))
     if large.isEmpty():
         return links
 
     # what the first links left apart, in clusters of several chunks
     found = components(links)
-    narrow = members.select("cluster", "node").join(large, "cluster").join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    narrow = members.select("cluster", "node").join(large.select("cluster"), "cluster").join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     narrow = stash(narrow, "parts")
     parts = stash(narrow.groupBy("cluster", "comp").agg(F.count("*").alias("n")), "part-sizes")
     main = parts.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all_n"), F.max("n").alias("main_n")).filter("all_n > main_n")
-    main = stash(main.select("cluster", "main", F.ceil((F.col("all_n") - F.col("main_n")) / CHUNK).cast("int").alias("rests")), "part-mains")
+    main = stash(main.join(large, "cluster").select("cluster", "main", "wide", F.ceil((F.col("all_n") - F.col("main_n")) * F.col("wide") / F.col("all_n")).cast("int").alias("rests")), "part-mains")
     if main.isEmpty():
         return links
+    wide = F.pmod(F.xxhash64("node", F.lit(7)), F.col("wide")).cast("int")
     rest = F.pmod(F.xxhash64("node", F.lit(11)), F.col("rests")).cast("int")
-    again = narrow.join(main, "cluster").withColumn("chunk", chunk).withColumn("rest", F.when(F.col("comp") != F.col("main"), rest))
-    every, all_rests = F.sequence(F.lit(0), chunks - 1), F.sequence(F.lit(0), F.col("rests") - 1)
+    again = narrow.join(main, "cluster").withColumn("chunk", wide).withColumn("rest", F.when(F.col("comp") != F.col("main"), rest))
+    every, all_rests = F.sequence(F.lit(0), F.col("wide") - 1), F.sequence(F.lit(0), F.col("rests") - 1)
     as_chunk = again.select("cluster", "node", "comp", F.col("chunk").alias("at"), F.explode(all_rests).alias("with"))
     as_rest = again.filter("rest is not null").select("cluster", "node", "comp", F.explode(every).alias("at"), F.col("rest").alias("with"))
     units = as_chunk.unionByName(as_rest).distinct().join(members, ["cluster", "node"]).withColumn("unit", unit("at", "with"))
@@ -150,7 +150,3 @@ class Linker:
         i, j = self.find(i), self.find(j)
         self.up[max(i, j)] = min(i, j)
         return i != j
-
-
-def chunks_of(m: int) -> int:
-    return math.ceil(m / CHUNK)

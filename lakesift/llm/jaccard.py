@@ -9,7 +9,9 @@ leaves out pairs of nodes whose greatest possible overlap is too small; leaves c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,12 +58,23 @@ def shingle_sets(texts: list[str | None], width: int, lower: bool = True) -> lis
     return out
 
 
+@cache
+def segments(band: int, num: int, den: int) -> tuple[int, int]:
+    """In how many tokens sets of the band can differ, and its segments: so many that those left empty by chance
+    hardly ever use up what is over that number."""
+    differ = int((FLOORS[band + 1] - 1) * (den - num) // num)
+    k = differ + 3
+    while differ and k - differ < (empty := k * math.exp(-float(FLOORS[band]) * num / den / k)) + 4 * math.sqrt(empty) + 1:
+        k += 1
+    return differ, k if differ else 1
+
+
 def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys such that sets with ``den * overlap >= num * union``, if different, have one in common.
 
     Two such sets differ in at most ``(den - num) * smaller // num`` tokens.  A set is keyed in the band
-    of its size, and in the next one if a larger partner can be there; a band has 3 segments more
-    than the sets of its sizes can differ in.  Empty segments are no keys, except for a set
+    of its size, and in the next one if a larger partner can be there; a band has more segments
+    than its sets can differ in.  Empty segments are no keys, except for a set
     whose full segments are too few for one of them to be sure of agreeing.
     """
     n = len(s)
@@ -70,8 +83,7 @@ def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     home = int(np.searchsorted(FLOORS, n, "right")) - 1
     out = []
     for band in (home, home + 1) if n * den >= FLOORS[home + 1] * num else (home,):
-        differ = int((FLOORS[band + 1] - 1) * (den - num) // num)
-        k = differ + 3 if differ else 1
+        differ, k = segments(band, num, den)
         at = (mix(s, 3) % np.uint64(k)).astype(np.int64)
         sums = np.zeros(k, np.uint64)
         np.add.at(sums, at, mix(s, 5))
@@ -152,6 +164,7 @@ def tree_join(payloads: list[bytes], comps: list[str | None], num: int, den: int
         b = np.zeros(BITS, np.uint8)
         b[(r & np.uint64(BITS - 1)).astype(np.int64)] = 1
         bits.append(int.from_bytes(np.packbits(b).tobytes(), "big"))
+    free = [n - b.bit_count() for n, b in zip(sizes, bits, strict=True)]
     union = Linker(comps)
     root = Tree(order, bits, sizes)
     todo = [(root, root)]
@@ -164,7 +177,10 @@ def tree_join(payloads: list[bytes], comps: list[str | None], num: int, den: int
                 for j in y.items:
                     if union.find(i) == union.find(j) or x is y and i >= j or 0 in (sizes[i], sizes[j]):
                         continue
-                    both = len(np.intersect1d(raw[i], raw[j], assume_unique=True))
+                    if (num + den) * (min(free[i], free[j]) + (bits[i] & bits[j]).bit_count()) < num * (sizes[i] + sizes[j]):
+                        continue
+                    a, b = (raw[i], raw[j]) if sizes[i] < sizes[j] else (raw[j], raw[i])
+                    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                     if den * both >= num * (sizes[i] + sizes[j] - both):
                         union.join(i, j)
                         yield i, j
@@ -209,3 +225,20 @@ def join(docs: DataFrame, *, width=3, num=90, den=100, lower=True, id_col="doc_i
     whole = seen.filter("n > 0").select("id", "n", "s1", "s2").join(labels, ["s1", "s2", "n"]).select("id", "n", "component")
     alone = seen.filter("n = 0").select("id", "n", F.col("id").alias("component"))
     return whole.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, width=5, num=80, den=100, lower=True, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of ``docs`` whose id names their component, with all columns: one document of each group of near duplicates.
+
+    Documents without words stay, and so do rows without an id unless they are like one that has an id.  Of rows
+    with one id only the one with the least hash of its text stays.
+    """
+    found = stash(join(docs, width=width, num=num, den=den, lower=lower, id_col=id_col, text_col=text_col), "jaccard-found")
+    winners = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("winner")).distinct()
+    kept = docs.join(winners, F.col(id_col).eqNullSafe(F.col("winner")), "left_semi")
+    again = stash(found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("twice")).count().filter("count > 1").select("twice"), "jaccard-twice")
+    if again.isEmpty():
+        return kept
+    hashed = F.struct(F.xxhash64(text_col).alias("th"), *[F.col(c) for c in docs.columns])
+    one = kept.join(again, F.col(id_col) == F.col("twice"), "left_semi").groupBy(F.col(id_col).alias("gid")).agg(F.min(hashed).alias("r")).select("r.*").drop("th")
+    return kept.join(again, F.col(id_col) == F.col("twice"), "left_anti").unionByName(one.select(*docs.columns))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lakesift.llm.clusters import Linker, candidate_clusters, components, verified_links
 from lakesift.llm.common import stash
-from lakesift.llm.words import mix, powers
+from lakesift.llm.words import mix, pieces, powers
 
 #: Shortest line for a threshold of so many edits; shorter lines than all have only exact copies.
 LEAST_FOR = {1: 20, 2: 40}
@@ -127,26 +127,33 @@ def edit_links(items: list[tuple]) -> Iterator[tuple[str, str]]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
+    """Every line that is not blank; a line's keys come with its first occurrence in the batch."""
+    for batch in pieces(batches):
+        ids, pos, line_at, lines = [], [], [], {}
         for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for pos, line in enumerate(lines_of(text)):
+            for p, line in enumerate(lines_of(text)):
                 if line:
-                    for c, v in zip(cols, (i, pos, *line_hash(line), len(line)), strict=True):
-                        c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "pos", "h1", "h2", "n"])
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lines = sorted({line for text in batch.column("text").to_pylist() for line in lines_of(text) if threshold(len(line))})
-        keys = segment_keys(lines)
-        node = np.repeat(np.array([line_hash(x)[0] for x in lines], np.int64), [len(k) for k in keys])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if lines else np.zeros(0, np.int64), pa.int64()), pa.array(node, pa.int64())], names=["key", "node"])
+                    ids.append(i)
+                    pos.append(p)
+                    line_at.append(lines.setdefault(line, len(lines)))
+        at = np.array(line_at, np.int64)
+        hashes = np.array([line_hash(x) for x in lines], np.int64).reshape(-1, 2)
+        first = np.zeros(len(at), bool)
+        first[np.unique(at, return_index=True)[1]] = True
+        keys = segment_keys(list(lines))
+        own = [keys[j] if f else keys[j][:0] for j, f in zip(line_at, first.tolist(), strict=True)]
+        offsets = np.zeros(len(own) + 1, np.int32)
+        np.cumsum([len(k) for k in own], out=offsets[1:])
+        values = pa.array(np.concatenate(own) if own else np.zeros(0, np.int64), pa.int64())
+        sizes = np.array([len(x) for x in lines], np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), pa.array(hashes[at, 0]), pa.array(hashes[at, 1]), pa.array(sizes[at]), pa.ListArray.from_arrays(pa.array(offsets), values)],
+            names=["id", "pos", "h1", "h2", "n", "keys"],
+        )
 
 
 def _lines_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         out: list[list] = [[], [], []]
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             lines = lines_of(text)
@@ -167,8 +174,9 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     Other columns are ignored.  A line's identity is its 128-bit hash; edit distance is taken on whole lines.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = stash(base.mapInArrow(_occurrences, "id long, pos long, h1 long, h2 long, n long"), "lines")
-    clusters = candidate_clusters(base.select("text").mapInArrow(_keyed, "key long, node long"))
+    seen = stash(base.mapInArrow(_occurrences, "id long, pos long, h1 long, h2 long, n long, keys array<long>"), "lines")
+    clusters = candidate_clusters(seen.select(F.explode("keys").alias("key"), F.col("h1").alias("node")))
+    seen = seen.drop("keys")
 
     # one occurrence of each candidate line brings its text
     place = F.struct(F.col("id").isNull().alias("last"), "id", "pos")

@@ -146,3 +146,16 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
         .withColumn("copies", F.least(copies, F.lit(int(cap))))
         .select(F.col("id").alias(id_col), F.col("source"), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
+
+
+def sample(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", **how) -> DataFrame:
+    """``docs`` as mixed: each row as often as it has copies, with ``copy`` from 1 and its ``rate``.
+
+    Rows without copies go.  Rows alike in id, source and size all take the greatest number that one of them has.
+    """
+    picks = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    picks = picks.groupBy(F.col(id_col).alias("pick"), F.col("source").alias("pick_source"), F.col("size").alias("pick_size")).agg(F.max("copies").alias("pick_copies"), F.max("rate").alias("pick_rate"))
+    picks = stash(picks.filter("pick_copies > 0"), "mix-picks")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    same = F.col(id_col).eqNullSafe(F.col("pick")) & F.col(source_col).eqNullSafe(F.col("pick_source")) & (size == F.col("pick_size"))
+    return docs.join(picks, same).select(*docs.columns, F.col("pick_rate").alias("rate"), F.explode(F.sequence(F.lit(1), F.col("pick_copies").cast("int"))).alias("copy"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.words import Texts
+from lakesift.llm.words import Texts, pieces
 
 #: Labelled rows to learn from, at most: those whose ids hash lowest.
 SAMPLE = 20_000
@@ -178,7 +178,7 @@ def bucket(id_col: str, parts: int) -> Column:
 
 
 def _with_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         x = statistics(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Trees, *, id_col="doc_id", text_col="text") ->
     """``<id_col>, score, predicted`` of every row; null texts score like empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             s = model.score(statistics(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 

@@ -253,11 +253,16 @@ def marginals(tokens: Tokens, field: Field) -> np.ndarray:
     return out
 
 
+def document_score(own: np.ndarray) -> float:
+    """The chance of any toxic token among those that stand out, or the greatest marginal where none does."""
+    high = own[own >= FLOOR]
+    return float(min(1.0, max(own.max(), 1 - np.prod(1 - high))))
+
+
 def tag(docs: DataFrame, field: Field, *, id_col="doc_id", text_col="text") -> DataFrame:
     """``<id_col>, score, predicted, spans`` of every row.
 
-    ``score`` is the chance of any toxic token among those that stand out, or the greatest marginal where none does;
-    ``spans`` are code point offsets (start, end) of runs of tokens more likely toxic than not.
+    ``score`` is as in ``document_score``; ``spans`` are code point offsets (start, end) of runs of tokens more likely toxic than not.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,8 +274,7 @@ def tag(docs: DataFrame, field: Field, *, id_col="doc_id", text_col="text") -> D
             for i in range(batch.num_rows):
                 a, b = int(t.first[i]), int(t.first[i + 1])
                 own = p[a:b]
-                high = own[own >= FLOOR]
-                scores.append(float(max(own.max(), 1 - np.prod(1 - high))) if b > a else 0.0)
+                scores.append(document_score(own) if b > a else 0.0)
                 found: list[dict] = []
                 on = np.flatnonzero(own >= 0.5)
                 if len(on):
@@ -279,7 +283,7 @@ def tag(docs: DataFrame, field: Field, *, id_col="doc_id", text_col="text") -> D
                     for run_of in np.split(on, np.flatnonzero(np.diff(on) > 1) + 1):
                         found.append({"start": place(int(t.start[a + run_of[0]])), "end": place(int(t.end[a + run_of[-1]]))})
                 spans.append(found)
-            s = np.clip(np.array(scores, float), 0, 1)
+            s = np.array(scores, float)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                 names=["id", "score", "predicted", "spans"],
@@ -299,3 +303,17 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds=5, held=0, id_col="doc
     field = train(docs, labels, folds=folds, held=held, label_col=label_col, most=most, id_col=id_col, text_col=text_col)
     held_out = F.coalesce(bucket(id_col, folds) == held, F.lit(False))
     return tag(docs, field, id_col=id_col, text_col=text_col).select(id_col, held_out.alias("held_out"), "score", "predicted", "spans")
+
+
+def reject(docs: DataFrame, labels: DataFrame, *, folds=5, held=0, id_col="doc_id", text_col="text", label_col="toxic", most=SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, null and empty texts among them."""
+    field = train(docs, labels, folds=folds, held=held, label_col=label_col, most=most, id_col=id_col, text_col=text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text_col):
+            t = Tokens(batch.column(text_col).to_pylist())
+            p = marginals(t, field)
+            keep = [not len(own) or document_score(own) < 0.5 for own in (p[t.first[i] : t.first[i + 1]] for i in range(batch.num_rows))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
