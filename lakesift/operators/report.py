@@ -71,7 +71,7 @@ def file_blocks(decisions: DataFrame) -> DataFrame:
         F.concat(F.lit("- **УЗ: "), F.col("uz"), F.lit("** · Находок: "), total.cast("string")),
         F.when(total > 0, F.lit("- Категории:")),
         *lines,
-        F.concat(F.lit("- Рекомендация: "), F.get(F.array(advice), F.lit(0))[F.col("uz")]),
+        F.concat(F.lit("- Рекомендация: "), F.try_element_at(advice, F.col("uz"))),
     )
     return decisions.where("is_pdn").select("path", block.alias("block"))
 
