@@ -61,12 +61,16 @@ def shingle_sets(texts: list[str | None], width: int, lower: bool = True) -> lis
 @cache
 def segments(band: int, num: int, den: int) -> tuple[int, int]:
     """In how many tokens sets of the band can differ, and its segments: so many that those left empty by chance
-    hardly ever use up what is over that number."""
-    differ = int((FLOORS[band + 1] - 1) * (den - num) // num)
-    k = differ + 3
-    while differ and k - differ < (empty := k * math.exp(-float(FLOORS[band]) * num / den / k)) + 4 * math.sqrt(empty) + 1:
-        k += 1
-    return differ, k if differ else 1
+    hardly ever use up what is over that number.  For small sets no number does; they take the least."""
+    floor, most = int(FLOORS[band]), int(FLOORS[band + 1]) - 1
+    differ = most * (den - num) // num
+    if not differ:
+        return 0, 1
+    for k in range(differ + 3, 4 * floor):
+        empty = k * math.exp(-floor * num / den / k)
+        if k - differ >= empty + 4 * math.sqrt(empty) + 1:
+            return differ, k
+    return differ, differ + 3
 
 
 def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
