@@ -83,14 +83,16 @@ def occurrences(c: Column, low: Column, words: Iterable[str]) -> Column:
         # the word's first character is matched and its rest looked at: overlapping places are found
         head, rest = re.escape(word[0]), re.escape(word[1:])
         places = spans(low, f"{earlier}{head}(?={rest})")
-        around = F.transform(
-            places,
-            lambda x, n=len(word): mask(F.substr(c, F.greatest(x["pos"] - 2, F.lit(0)) + 1, F.least(x["pos"], F.lit(2)) + n + 2), 2),
-        )
+        around = F.transform(places, _masked_around(c, len(word)))
         out = F.concat(out, F.when(F.coalesce(low.contains(word), F.lit(False)), around).otherwise(F.array().cast("array<string>")))
     return out
 
 
+def _masked_around(c: Column, n: int) -> Callable[[Column], Column]:
+    """Two characters on each side of the ``n`` from a place, masked."""
+    return lambda x: mask(F.substr(c, F.greatest(x["pos"] - 2, F.lit(0)) + 1, F.least(x["pos"], F.lit(2)) + n + 2), 2)
+
+
 def count_occurrences(low: Column, words: Iterable[str]) -> Column:
     return count(low, f"(?={any_of(words)})")
 
