@@ -63,13 +63,20 @@ def blocks(print_: Column, size: Column) -> Column:
     return F.explode(F.array(*one))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of bags of ``struct(h, w)``."""
-    union = F.array_distinct(F.concat(a, b))
+def similarity(a: Column, a_weights: Column, b: Column, b_weights: Column) -> Column:
+    """Weighted Jaccard of bags of shingles; a shingle's weight goes with its hash.
+
+    Where neither side repeats a shingle, looking each up in the other side is enough; else repeats are counted.
+    """
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, w: s + w)
     count = lambda bag, x: F.size(F.filter(bag, lambda y: y == x))
-    least = F.aggregate(union, F.lit(0).cast("long"), lambda s, x: s + x["w"] * F.least(count(a, x), count(b, x)))
-    most = F.aggregate(union, F.lit(0).cast("long"), lambda s, x: s + x["w"] * F.greatest(count(a, x), count(b, x)))
-    return least / most
+    in_both = total(F.zip_with(a, a_weights, lambda h, w: F.when(F.array_contains(b, h), w).otherwise(F.lit(0).cast("long"))))
+    pairs = F.array_distinct(F.zip_with(a, a_weights, lambda h, w: F.struct(h.alias("h"), w.alias("w"))))
+    repeats = F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + x["w"] * F.least(count(a, x["h"]), count(b, x["h"])))
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
+    shared = F.when(plain, in_both).otherwise(repeats)
+    # the sum is worked out once, as the element of an array
+    return F.transform(F.array(shared), lambda s: s / (total(a_weights) + total(b_weights) - s))[0]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, least=0.8, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
@@ -115,9 +122,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, least=0.8, id_col="doc_id"
     whole = items.select(F.col("item").alias("r_item"), F.col("size").alias("r_size"), F.col("h").alias("item_h"), F.col("v").alias("item_v"))
     compared = near.join(key(texts), same()).join(whole, F.col("item").eqNullSafe(F.col("r_item")) & (F.col("size") == F.col("r_size")))
     cut = lambda c: F.slice(c, F.col("start") + 1, F.col("span"))
-    zipped = lambda h, v: F.zip_with(h, v, lambda x, y: F.struct(x.alias("h"), y.alias("w")))
-    compared = compared.select("id", "th", "item", "start", "distance", F.least("size", "n").alias("window_words"), zipped(cut("h"), cut("v")).alias("a"), zipped(F.col("item_h"), F.col("item_v")).alias("b"))
-    compared = compared.withColumn("similarity", similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= least)
+    compared = compared.select("id", "th", "item", "start", "distance", F.least("size", "n").alias("window_words"), cut("h").alias("a"), cut("v").alias("av"), "item_h", "item_v")
+    compared = compared.withColumn("similarity", similarity(F.col("a"), F.col("av"), F.col("item_h"), F.col("item_v"))).filter(F.col("similarity") >= least)
     best = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"), F.col("distance"), F.col("window_words")))
     found = compared.groupBy("id", "th", "item").agg(best.alias("b"))
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.back")).alias("window_start"), F.col("b.window_words").alias("window_words"), F.col("b.distance").alias("distance"), F.col("b.similarity").alias("similarity"), "th")
