@@ -120,10 +120,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, least=0.8, id_col="doc_id"
     near = stash(near.select("id", "th", "size", "start", "span", "item", "distance").distinct(), "bench-near")
 
     whole = items.select(F.col("item").alias("r_item"), F.col("size").alias("r_size"), F.col("h").alias("item_h"), F.col("v").alias("item_v"))
-    compared = near.join(key(texts), same()).join(whole, F.col("item").eqNullSafe(F.col("r_item")) & (F.col("size") == F.col("r_size")))
+    # windows are cut out of their texts before items join, so that whole texts are not shuffled once for each window
     cut = lambda c: F.slice(c, F.col("start") + 1, F.col("span"))
-    compared = compared.select("id", "th", "item", "start", "distance", F.least("size", "n").alias("window_words"), cut("h").alias("a"), cut("v").alias("av"), "item_h", "item_v")
-    compared = compared.withColumn("similarity", similarity(F.col("a"), F.col("av"), F.col("item_h"), F.col("item_v"))).filter(F.col("similarity") >= least)
+    compared = near.join(key(texts), same()).select("id", "th", "item", "size", "start", "distance", F.least("size", "n").alias("window_words"), cut("h").alias("a"), cut("v").alias("av"))
+    compared = compared.join(whole, F.col("item").eqNullSafe(F.col("r_item")) & (F.col("size") == F.col("r_size")))
+    # an element of an array, so that the similarity is worked out once
+    scored = F.array(similarity(F.col("a"), F.col("av"), F.col("item_h"), F.col("item_v")))
+    compared = compared.select("id", "th", "item", "start", "distance", "window_words", F.explode(F.filter(scored, lambda x: x >= least)).alias("similarity"))
     best = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"), F.col("distance"), F.col("window_words")))
     found = compared.groupBy("id", "th", "item").agg(best.alias("b"))
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.back")).alias("window_start"), F.col("b.window_words").alias("window_words"), F.col("b.distance").alias("distance"), F.col("b.similarity").alias("similarity"), "th")
