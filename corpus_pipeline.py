@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three documents or more share, up to a few edits, stay in the first only; no document goes."""
+    """Lines of 20 characters or more that occur again, up to a few edits, stay where they are first; no document goes."""
     return linedup.drop_lines(docs)
 
 

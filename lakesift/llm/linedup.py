@@ -205,19 +205,33 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     )
 
 
-def drop_lines(docs: DataFrame, *, min_docs=3, min_chars=20, most_share=0.5, id_col="doc_id", text_col="text", chars_col="n_chars") -> DataFrame:
-    """``docs`` with boilerplate lines taken out of the texts: columns and rows stay, texts and lengths change.
+def whole_copies(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """``copy_id, copy_of`` of the ids whose text equals that of a smaller one (null last), by SHA-256."""
+    own = docs.select(F.col(id_col).cast("long").alias("copy_id"), F.sha2(F.col(text_col).cast("string"), 256).alias("digest")).filter("digest is not null")
+    place = F.struct(F.col("copy_id").isNull().alias("last"), F.col("copy_id").alias("id"))
+    firsts = own.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    copies = own.join(stash(firsts.select("digest", "first"), "lines-copied"), "digest").filter(~F.col("first.id").eqNullSafe(F.col("copy_id")))
+    return copies.groupBy("copy_id").agg(F.min("first.id").alias("copy_of"))
+
+
+def drop_lines(docs: DataFrame, *, min_docs=1, min_chars=20, id_col="doc_id", text_col="text", chars_col="n_chars") -> DataFrame:
+    """``docs`` with repeated lines taken out of the texts: columns and rows stay, texts and lengths change.
 
     A line goes if its class occurs in ``min_docs`` documents or more, it has ``min_chars`` characters or more
-    and is not the first of its class.  A document that would lose more than ``most_share`` of its characters is a
-    copy of others as a whole; it stays untouched, for document-level deduplication to judge.
+    and is not the first of its class, however much of its document goes with it.  A text equal to that of a smaller id
+    loses the lines that the smaller one loses, so that the two stay equal, for document-level deduplication to see.
+    A text that holds nothing else ends empty.
     """
-    gone = classes(docs, id_col=id_col, text_col=text_col).filter(F.col("repeated") & (F.col("class_docs") >= min_docs) & (F.col("n_chars") >= min_chars))
-    gone = stash(gone.groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_set(F.col("line_no").cast("int")).alias("gone"), F.sum("n_chars").alias("gone_chars")), "lines-gone")
+    lines = classes(docs, id_col=id_col, text_col=text_col).filter((F.col("class_lines") > 1) & (F.col("class_docs") >= min_docs) & (F.col("n_chars") >= min_chars))
+    copies = stash(whole_copies(docs, id_col=id_col, text_col=text_col).withColumn("copy", F.lit(True)), "lines-copies")
+    lines = lines.join(copies, F.col(id_col).eqNullSafe(F.col("copy_id")), "left")
+    stands_for = F.when(F.col("copy"), F.col("copy_of")).otherwise(F.col(id_col))
+    gone = lines.filter(~(F.col("first_id").eqNullSafe(stands_for) & (F.col("first_line") == F.col("line_no"))))
+    gone = stash(gone.groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_set(F.col("line_no").cast("int")).alias("gone")), "lines-gone")
     text = F.col(text_col)
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    small = F.coalesce(F.col("gone_chars") <= F.char_length(text) * most_share, F.lit(False))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left").withColumn(text_col, F.when(small, kept).otherwise(text))
+    some = F.col("gone").isNotNull()
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left").withColumn(text_col, F.when(some, kept).otherwise(text))
     if chars_col in docs.columns:
-        joined = joined.withColumn(chars_col, F.when(small, F.char_length(text).cast("long")).otherwise(F.col(chars_col)))
+        joined = joined.withColumn(chars_col, F.when(some, F.char_length(text).cast("long")).otherwise(F.col(chars_col)))
     return joined.select(*docs.columns)

@@ -123,6 +123,18 @@ def test_lines(spark):
     assert len(kept) == 6 and kept[9] is None and kept[0] == rows[0][1]
 
 
+def test_lines_dropped_whole(spark):
+    shared, two, twice = ("%s line of some length number %s" % (w, w * 3) for w in ("boiler", "pair", "inner"))
+    own = [hashlib.md5(str(i).encode()).hexdigest() for i in range(5)]
+    texts = [shared, f"{shared}\n{own[1]}", f"{own[2]}\n{two}", f"{two}\n{own[3]}", f"{twice}\n{own[4]}\n{twice}", f"{shared}\n{own[1]}", shared]
+    rows = [(i, t, len(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in linedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    # mostly repeated, shared by two only, repeated inside one, and whole copies, which stay like their first
+    want = [shared, own[1], texts[2], own[3], f"{twice}\n{own[4]}", own[1], shared]
+    assert [got[i]["text"] for i in range(7)] == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 def test_mixing(spark, docs):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
