@@ -1,8 +1,8 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans.
 
-Rows carry one label per document, so tokens are labelled first: words, and beginnings of words, that a
-greedy cover finds to account for the toxic documents of a bounded sample, and that clean ones lack,
-make toxic tokens of those documents.  The field is fitted to chains of these tokens; forward-backward marginals of
+Rows carry one label per document, so tokens are labelled first: words, and beginnings of words, that enough
+toxic documents of a bounded sample hold, near copies counted once, and that clean ones lack, make toxic tokens
+of those documents; toxic documents without any are not learnt from.  The field is fitted to chains of these tokens; forward-backward marginals of
 every token of every text then give spans and document scores.  Chains are runs of up to 64 words,
 taken in step across a batch, so long texts cost no more per word than short ones.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm.common import stash
+from lakesift.llm.jaccard import keep_one
 from lakesift.llm.quality import bucket, labelled
 from lakesift.llm.words import Texts, mix, pieces
 
@@ -29,8 +30,8 @@ SLOTS = 1 << 18
 MARKERS, LEAST_DOCS = 5000, 5
 #: Bytes of a word's beginnings that count.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: A word or beginning is toxic if this share of the documents that hold it is, and it adds this share of toxic documents to those covered.
-PURE, ADDS = 0.8, 0.005
+#: A word or beginning is toxic if this share of the documents that hold it is.
+PURE = 0.8
 CLEAN_CHAINS, TOXIC_CHAINS = 2, 4
 STEPS, RATE, L2 = 60, 0.2, 1e-5
 #: Marginals below this do not add up over a document.
@@ -161,46 +162,23 @@ def _distinct_markers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), pa.array(at, pa.int32())], names=["marker", "label"])
 
 
-def _holds(markers: np.ndarray):
-    """Which of ``markers`` each row holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            t = Tokens(batch.column("text").to_pylist())
-            m = t.markers()
-            yield pa.RecordBatch.from_arrays([pa.array([np.intersect1d(m[t.first[i] : t.first[i + 1]], markers).tolist() for i in range(batch.num_rows)], pa.list_(pa.int64()))], names=["markers"])
-
-    return run
-
-
 def toxic_markers(rows: DataFrame) -> np.ndarray:
-    """Hashes of the words and beginnings that account for the toxic rows of ``text, label``: a greedy cover.
+    """Hashes of the words and beginnings that at least LEAST_DOCS toxic rows of ``text, label`` hold, and few clean ones.
 
-    Copies share odd words with the toxic words that they hold; a marker must add documents to those
-    covered before, so such words do not come in.
+    Copies share odd words with the toxic words that they hold, so of near duplicates one counts.
     """
-    counts = rows.mapInArrow(_distinct_markers, "marker long, label int").groupBy("marker").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
+    texts = rows.groupBy("text").agg(F.max("label").alias("label")).select(F.xxhash64("text").alias("id"), "text", "label")
+    single = keep_one(stash(texts, "toxic-texts"), id_col="id")
+    counts = single.mapInArrow(_distinct_markers, "marker long, label int").groupBy("marker").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
     good = counts.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") >= PURE * F.col("docs")))
-    rate = {r["marker"]: r["toxic"] / r["docs"] for r in good.orderBy(F.desc("toxic"), "marker").limit(MARKERS).collect()}
-    if not rate:
-        return np.zeros(0, np.int64)
-    held = [set(r["markers"]) for r in rows.filter("label = 1").mapInArrow(_holds(np.array(sorted(rate), np.int64)), "markers array<long>").toLocalIterator()]
-    total, left, chosen = len(held), held, []
-    while left:
-        tally: dict[int, int] = {}
-        for h in left:
-            for w in h:
-                tally[w] = tally.get(w, 0) + 1
-        best = max(tally, key=lambda w: (tally[w], rate[w], w), default=None)
-        if best is None or tally[best] < max(LEAST_DOCS, ADDS * total):
-            break
-        chosen.append(best)
-        left = [h for h in left if best not in h]
-    return np.array(sorted(chosen), np.int64)
+    return np.array(sorted(r["marker"] for r in good.orderBy(F.desc("toxic"), "marker").limit(MARKERS).collect()), np.int64)
 
 
 def _training_chains(markers: np.ndarray):
-    """Chains to learn from: up to TOXIC_CHAINS of those that hold a toxic token and CLEAN_CHAINS others of each row, by hash."""
+    """Chains to learn from: up to TOXIC_CHAINS of those that hold a toxic token and CLEAN_CHAINS others of each row, by hash.
+
+    A toxic row without a marker gives none: which of its tokens are toxic is not known.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -210,13 +188,14 @@ def _training_chains(markers: np.ndarray):
             begin, length = t.chains()
             owner = np.searchsorted(t.first, begin, "right") - 1
             tag = np.isin(t.markers(), markers).any(1) & (np.repeat(labels, np.diff(t.first)) == 1)
+            told = (labels != 1) | (np.bincount(np.repeat(np.arange(len(labels)), np.diff(t.first)), tag, len(labels)) > 0)
             taken: dict[tuple[int, bool], int] = {}
             out: list[tuple] = []
             for i in np.argsort(mix(t.word[begin], 77), kind="stable").tolist():
                 a, b = int(begin[i]), int(begin[i] + length[i])
                 toxic = bool(tag[a:b].any())
                 key = (int(owner[i]), toxic)
-                if taken.get(key, 0) < (TOXIC_CHAINS if toxic else CLEAN_CHAINS):
+                if told[owner[i]] and taken.get(key, 0) < (TOXIC_CHAINS if toxic else CLEAN_CHAINS):
                     taken[key] = taken.get(key, 0) + 1
                     out.append((features[a:b].astype(np.int32).tobytes(), tag[a:b].astype(np.int8).tobytes()))
             cols = list(zip(*out, strict=True)) if out else [(), ()]

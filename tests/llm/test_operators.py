@@ -206,6 +206,21 @@ def test_classifiers(spark, docs, how, label):
     assert how.classify(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxic_markers(spark):
+    rng = random.Random(3)
+    text = lambda *more: " ".join(rng.sample([*(rng.choice("abcdefgh") * 2 + str(rng.randrange(9)) for _ in range(40)), *more], 40 + len(more)))
+    copied = text("odd", "vile") + " end"
+    rows = [(text("vile", "nasty"), 1) for _ in range(12)] + [(f"{copied} {i}", 1) for i in range(8)] + [(text(), i % 8 == 7) for i in range(80)]
+    rows = spark.createDataFrame([(t, int(y)) for t, y in rows], "text string, label int").repartition(3)
+    found = toxicity.toxic_markers(rows)
+    words = toxicity.Tokens(["vile nasty odd"]).markers()[:, 0]
+    # words that occur together are all markers; what near copies alone share is none
+    assert [w in found for w in words] == [True, True, False]
+    # a toxic row without a marker is not taken for clean
+    three = spark.createDataFrame([("vile thing", 1), ("some thing", 1), ("any thing", 0)], "text string, label int")
+    assert three.mapInArrow(toxicity._training_chains(found), "features binary, tags binary").count() == 2
+
+
 def test_pipeline(spark):
     documents = table(spark, "documents")
     docs = documents
