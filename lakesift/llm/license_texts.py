@@ -1,4 +1,9 @@
-"""Known licence texts and notices (public texts; the copyright lines do not count)."""
+"""Known licence texts and notices (public texts; the copyright lines do not count).
+
+The long ones are files of ``license_files``, named by their ids.
+"""
+
+from importlib.resources import files
 
 # Texts that a whole document may consist of.
 _PERMIT = (
@@ -60,3 +65,34 @@ LICENSES = {
     "notice-GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "notice-CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
+_TITLED = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib")
+#: Where each file's text begins after its title.
+_BEGINS = {
+    "Apache-2.0": "TERMS AND CONDITIONS FOR USE",
+    "Artistic-1.0-Perl": "Preamble",
+    "CC0-1.0": "CREATIVE COMMONS CORPORATION",
+    "GFDL-1.2": "0. PREAMBLE",
+    "GFDL-1.3": "0. PREAMBLE",
+    "GPL-1.0": "Preamble",
+    "GPL-2.0": "Preamble",
+    "GPL-3.0": "Preamble",
+    "LGPL-2.0": "Preamble",
+    "LGPL-2.1": "Preamble",
+    "LGPL-3.0": "This version of the GNU Lesser",
+    "MPL-1.1": "1. Definitions.",
+    "MPL-2.0": "1. Definitions",
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _variants(name: str, text: str, begin: str) -> dict[str, str]:
+    """The text, and without its title and what follows the terms."""
+    found = {name: text, f"{name} without title": text[text.index(begin) :]}
+    if _END in text:
+        found |= {f"{k} without appendix" if k == name else f"{k} and appendix": v[: v.index(_END) + len(_END)] for k, v in list(found.items())}
+    return found
+
+
+LICENSES |= {f"{k} without title": LICENSES[k].split("\n\n", 1)[1] for k in _TITLED}
+for _name, _begin in _BEGINS.items():
+    LICENSES |= _variants(_name, (files(__package__) / "license_files" / f"{_name}.txt").read_text("utf-8"), _begin)

@@ -184,6 +184,15 @@ def test_licenses(spark):
     assert got == {1: name, 2: name, 3: None, 4: None, 5: None}
 
 
+def test_common_licenses(spark):
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "GFDL-1.3", "Artistic-1.0-Perl"]
+    texts = [LICENSES[n] for n in names]
+    bare = "\n".join(texts[0].strip().split("\n")[4:])
+    rows = [*enumerate(texts), (90, bare), (91, LICENSES["MIT"].replace("MIT License", ""))]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(enumerate(names)), 90: "Apache-2.0 without title", 91: "MIT without title"}
+
+
 def test_fingerprints(spark, docs):
     got = imatch.fingerprints(docs).collect()
     assert len(got) == docs.count()
