@@ -1,7 +1,9 @@
-"""Similarity joins in three distributed steps: candidates that share a key, clusters of them, exact links inside.
+"""Similarity joins in distributed steps: nodes that share a key meet, exact links join them, components follow.
 
-Nothing here emits all pairs of a group: candidates are tied to one member of their key, clusters
-are dealt out in units of bounded size, and inside a unit pairs that are linked already are not tried.
+Nothing here emits all pairs of a group, and no group of unverified candidates grows beyond one key.
+Keys whose nodes are the same are compared once.  First each node meets only the company of its most
+shared key, in chunks of bounded size; that joins up large groups of near copies.  Then only keys
+whose nodes are still apart are compared, and only pairs that are apart.
 """
 
 from __future__ import annotations
@@ -12,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import stash
+from lakesift.llm.common import discard, stash
 from lakesift.llm.words import pieces
 
-#: Members of a cluster that one unit of the first round holds, about; chunks of the second round, and their bytes.
+#: Nodes that one unit of the first round holds, about; nodes and bytes of a unit's side in the second.
 CHUNK, WIDE, WIDE_BYTES = 64, 512, 8 << 20
 
 
@@ -36,29 +38,39 @@ def components(edges: DataFrame) -> DataFrame:
         # two jumps: to the neighbour's choice and that one's
         for _ in range(2):
             onward = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
-            up = stash(up.join(onward, "up").select("node", F.col("next").alias("up")), "cc-up")
+            further = stash(up.join(onward, "up").select("node", F.col("next").alias("up")), "cc-up")
+            discard(up)
+            up = further
         moves.append(up)
         left, right = up.select(F.col("node").alias("a"), F.col("up").alias("ua")), up.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         moved = edges.join(left, "a").join(right, "b").filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        edges = stash(moved, "cc-edges")
+        fewer = stash(moved, "cc-edges")
+        discard(edges)
+        edges = fewer
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = moves[0].select("node", F.col("up").alias("root"))
     for up in moves[1:]:
         later = up.select(F.col("node").alias("root"), F.col("up").alias("next"))
         labels = labels.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return stash(labels, "cc-labels")
+    out = stash(labels, "cc-labels")
+    discard(edges, *moves)
+    return out
 
 
-def candidate_clusters(keyed: DataFrame) -> DataFrame:
-    """``key, node`` -> ``node, cluster`` for nodes that share a key with another node.
+def shared_members(keyed: DataFrame) -> DataFrame:
+    """``key, node`` -> ``key, m, node``: the ``m`` nodes of each key that two or more share, once each.
 
-    Keys are counted with partial aggregates; only keys of two nodes or more are joined back, by a plain join that adaptive execution splits where a key is hot.
+    Of keys with the same nodes one stays (told by two 64-bit sums over their hashes).  Keys are counted with partial
+    aggregates; only shared ones are joined back, by a plain join that adaptive execution splits where a key is hot.
     """
-    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("key", "a")
-    shared = stash(shared, "shared-keys")
-    edges = keyed.join(shared, "key").select("a", F.col("node").alias("b"))
-    return components(edges).withColumnRenamed("root", "cluster")
+    shared = stash(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("key"), "shared-keys")
+    members = stash(keyed.join(shared, "key").repartition("key", "node").distinct(), "shared-nodes")
+    alike = members.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    units = alike.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m")
+    out = stash(members.join(units, "key"), "shared-members")
+    discard(shared, members)
+    return out
 
 
 def _by_unit(link: Callable) -> Callable:
@@ -87,48 +99,50 @@ def _by_unit(link: Callable) -> Callable:
     return run
 
 
-def _linked(units: DataFrame, link: Callable) -> DataFrame:
-    return units.select("unit", "node", "comp", "payload").repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_unit(link), "a string, b string")
+def _linked(units: DataFrame, payloads: DataFrame, link: Callable) -> DataFrame:
+    whole = units.join(payloads, "node").select("unit", "node", "comp", "payload")
+    return whole.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_unit(link), "a string, b string")
 
 
-def verified_links(members: DataFrame, link: Callable) -> DataFrame:
-    """``cluster, node (string), payload`` -> links ``a, b`` that connect just what is connected by all links.
+def verified_links(members: DataFrame, payloads: DataFrame, link: Callable) -> DataFrame:
+    """``key, m, node (string)`` and ``node, payload`` -> links ``a, b`` that connect just what all links between nodes that share a key connect.
 
     ``link`` gets a unit's ``(node, comp, payload)`` and yields links; it may leave out pairs with equal
-    ``comp`` (not null) and pairs that its earlier links connect.  A cluster of up to CHUNK members is one
-    unit.  A larger one is dealt into chunks by hash, each with the cluster's pivots as company; whatever
-    these links leave apart from the cluster's largest part then meets every (wider) chunk.
+    ``comp`` (not null) and pairs that its earlier links connect.
+
+    First round: a node goes to the one of its keys that most nodes share.  A key's company is dealt into chunks by hash,
+    each with the same two pivots.  Second round: keys whose nodes these links leave apart.  Nodes outside a
+    key's largest part meet all its nodes, in units of a bounded number of nodes and bytes on either side.
     """
-    members = stash(members, "members")
-    sizes = stash(members.groupBy("cluster").agg(F.count("*").alias("m"), F.min("node").alias("p"), F.max("node").alias("q"), F.sum(F.octet_length("payload")).alias("bytes")), "cluster-sizes")
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    unit = lambda *parts: F.concat_ws("/", F.col("key").cast("string"), *parts)
+    chosen = members.groupBy("node").agg(F.max(F.struct("m", "key")).alias("best")).select("node", F.col("best.key").alias("key"))
+    chosen = stash(chosen, "chosen")
+    sizes = stash(chosen.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("p"), F.max("node").alias("q")).filter("n > 1"), "chosen-sizes")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     chunk = F.pmod(F.xxhash64("node", F.lit(7)), chunks).cast("int")
-    pivot = F.col("node").isin(F.col("p"), F.col("q"))
-    unit = lambda *parts: F.concat_ws("/", F.col("cluster"), *parts)
-    dealt = members.join(sizes, "cluster").withColumn("chunk", chunk)
-    first = dealt.withColumn("at", F.explode(F.when(pivot, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array("chunk")))).withColumn("comp", F.lit(None).cast("string"))
-    links = stash(_linked(first.withColumn("unit", unit("at")), link), "links")
-    large = sizes.filter(F.col("m") > CHUNK).select("cluster", F.ceil(F.greatest(F.col("m") / WIDE, F.col("bytes") / WIDE_BYTES)).cast("int").alias("wide"))
-    if large.isEmpty():
-        return links
-
-    # what the first links left apart, in clusters of several chunks
+    everywhere = F.when(F.col("node").isin(F.col("p"), F.col("q")), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(chunk))
+    first = chosen.join(sizes, "key").withColumn("at", F.explode(everywhere)).select(unit("at").alias("unit"), "node", F.lit(None).cast("string").alias("comp"))
+    links = stash(_linked(first, payloads, link), "links")
+    discard(chosen, sizes)
+
     found = components(links)
-    narrow = members.select("cluster", "node").join(large.select("cluster"), "cluster").join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    narrow = stash(narrow, "parts")
-    parts = stash(narrow.groupBy("cluster", "comp").agg(F.count("*").alias("n")), "part-sizes")
-    main = parts.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all_n"), F.max("n").alias("main_n")).filter("all_n > main_n")
-    main = stash(main.join(large, "cluster").select("cluster", "main", "wide", F.ceil((F.col("all_n") - F.col("main_n")) * F.col("wide") / F.col("all_n")).cast("int").alias("rests")), "part-mains")
-    if main.isEmpty():
-        return links
-    wide = F.pmod(F.xxhash64("node", F.lit(7)), F.col("wide")).cast("int")
+    parts = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    parts = stash(parts, "parts")
+    apart = parts.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).filter("a <> z").select("key")
+    apart = stash(parts.join(apart, "key").join(payloads.select("node", F.octet_length("payload").cast("long").alias("bytes")), "node"), "apart")
+    by_part = apart.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    plan = by_part.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("main_n"), F.sum("n").alias("all_n"), F.sum("bytes").alias("all_bytes"))
+    wide = F.ceil(F.greatest(F.col("all_n") / WIDE, F.col("all_bytes") / WIDE_BYTES))
+    plan = plan.select("key", "main", wide.cast("int").alias("wide"), F.ceil((F.col("all_n") - F.col("main_n")) * wide / F.col("all_n")).cast("int").alias("rests"))
+    plan = stash(plan, "apart-plan")
+    again = apart.join(plan, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("wide")).cast("int"))
     rest = F.pmod(F.xxhash64("node", F.lit(11)), F.col("rests")).cast("int")
-    again = narrow.join(main, "cluster").withColumn("chunk", wide).withColumn("rest", F.when(F.col("comp") != F.col("main"), rest))
-    every, all_rests = F.sequence(F.lit(0), F.col("wide") - 1), F.sequence(F.lit(0), F.col("rests") - 1)
-    as_chunk = again.select("cluster", "node", "comp", F.col("chunk").alias("at"), F.explode(all_rests).alias("with"))
-    as_rest = again.filter("rest is not null").select("cluster", "node", "comp", F.explode(every).alias("at"), F.col("rest").alias("with"))
-    units = as_chunk.unionByName(as_rest).distinct().join(members, ["cluster", "node"]).withColumn("unit", unit("at", "with"))
-    return links.unionByName(_linked(units, link))
+    as_own = again.select("key", "node", "comp", F.col("own").alias("at"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("with"))
+    as_rest = again.filter("comp <> main").withColumn("with", rest).select("key", "node", "comp", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("at"), "with")
+    second = as_own.unionByName(as_rest).distinct().select(unit("at", "with").alias("unit"), "node", "comp")
+    out = stash(links.unionByName(_linked(second, payloads, link)), "links")
+    discard(links, parts, apart, plan)
+    return out
 
 
 class Linker:

@@ -1,7 +1,9 @@
-"""Helpers that several operators share: working storage and reading tables."""
+"""Helpers that several operators share: working storage, reading tables, names for helper columns."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,10 +16,18 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def workdir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Where none is set, a folder of our own for the life of this process, on one machine only: a cluster without a
+    shared folder raises, since its executors would not see each other's files.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         place = tempfile.mkdtemp(prefix="lakesift-")
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
@@ -29,11 +39,34 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back: cuts the lineage, survives lost executors.
 
-    The files stay until the folder is emptied; the returned frame reads them.
+    The files stay until ``discard`` or until the folder is emptied; the returned frame reads them.
     """
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(*stashes: DataFrame) -> None:
+    """Remove the files of stashes that nothing reads any more."""
+    for df in stashes:
+        if getattr(df, "stashed_at", None) is None:
+            continue
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as it takes for ``df`` to have no such column (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,41 +1,35 @@
 """N-gram Jaccard join by signature trees.
 
-Texts become sets of word shingles.  Sets that differ in at most d shingles agree wholly in one of
-more than d segments of the hash space, so sets that share a segment are the candidates (no pair over
-the threshold can be missed, see ``segment_keys``).  Clusters of candidates are joined by signature
-trees: nodes hold the OR of their sets' token bitmaps and their range of sizes, and a dual traversal
-leaves out pairs of nodes whose greatest possible overlap is too small; leaves compare whole sets.
+Texts become sets of word shingles.  A signature tree's nodes hold the OR of their sets' token bitmaps and
+their range of sizes; a dual traversal leaves out pairs of nodes whose greatest possible overlap is too
+small, and leaves compare whole sets.  At the root the bitmap is as wide as the token space and kept as rows,
+one for each set bit of a set's signature: its rarest tokens, so many that two sets over the threshold must
+share one of them.  A bit that two sets share is the root of a subtree, and subtrees are traversed in
+parallel; below the roots, bitmaps are dense and as wide as the subtree's sets ask for.
+
+Rare means few occurrences in a table of SLOTS counters over all texts.  Any one order of tokens
+gives the same links; this one keeps passages that many texts share out of signatures.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.clusters import Linker, candidate_clusters, components, verified_links
-from lakesift.llm.common import stash
+from lakesift.llm.clusters import Linker, components, shared_members, verified_links
+from lakesift.llm.common import discard, stash, unused
 from lakesift.llm.words import Texts, mix, pieces
 
-BITS = 2048
+#: Bits of a dense bitmap: so many times the largest set of the tree, from the least to the most.
+SPREAD, LEAST_BITS, MOST_BITS = 8, 2048, 1 << 17
 LEAF, FAN = 4, 4
-#: Sizes from one band's floor to the next grow by this; at least 1 / threshold.
-BAND = 1.5
-
-
-def bands(least: int = 2) -> list[int]:
-    out = [least]
-    while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, int(out[-1] * BAND)))
-    return out
-
-
-FLOORS = np.array(bands(), np.int64)
+#: Counters of token occurrences, whatever the corpus; so many of them make a row.
+SLOT_BITS, BLOCK_BITS = 21, 13
 
 
 def shingle_sets(texts: list[str | None], width: int, lower: bool = True) -> list[np.ndarray]:
@@ -58,62 +52,80 @@ def shingle_sets(texts: list[str | None], width: int, lower: bool = True) -> lis
     return out
 
 
-@cache
-def segments(band: int, num: int, den: int) -> tuple[int, int]:
-    """In how many tokens sets of the band can differ, and its segments: so many that those left empty by chance
-    hardly ever use up what is over that number.  For small sets no number does; they take the least."""
-    floor, most = int(FLOORS[band]), int(FLOORS[band + 1]) - 1
-    differ = most * (den - num) // num
-    if not differ:
-        return 0, 1
-    for k in range(differ + 3, 4 * floor):
-        empty = k * math.exp(-floor * num / den / k)
-        if k - differ >= empty + 4 * math.sqrt(empty) + 1:
-            return differ, k
-    return differ, differ + 3
-
-
-def segment_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys such that sets with ``den * overlap >= num * union``, if different, have one in common.
-
-    Two such sets differ in at most ``(den - num) * smaller // num`` tokens.  A set is keyed in the band
-    of its size, and in the next one if a larger partner can be there; a band has more segments
-    than its sets can differ in.  Empty segments are no keys, except for a set
-    whose full segments are too few for one of them to be sure of agreeing.
+def identities(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set."""
+    return tuple(np.array([mix(s, seed).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for seed in (21, 23))
+
+
+def _profile(width: int, lower: bool):
+    """A row for each text; at the task's end, rows of its counters (without an id's columns)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOT_BITS, np.uint32)
+        names = ["id", "n", "s1", "s2", "block", "counts"]
+        for batch in pieces(batches):
+            sets = shingle_sets(batch.column("text").to_pylist(), width, lower)
+            for s in sets:
+                counts[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] += np.uint32(1)
+            s1, s2 = identities(sets)
+            none = [pa.nulls(len(sets), t) for t in (pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), *none], names=names)
+        held = counts.reshape(-1, 1 << BLOCK_BITS)
+        some = np.flatnonzero(held.any(1))
+        rows = pa.array([np.minimum(held[i], 65535).astype(np.uint16).tobytes() for i in some], pa.binary())
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), pa.int64()) for _ in range(4)], pa.array(some, pa.int32()), rows], names=names)
+
+    return run
+
+
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters of all tasks added up, as bytes: eight times their binary logarithm."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            total.setdefault(block, np.zeros(1 << BLOCK_BITS, np.uint64))
+            total[block] += np.frombuffer(counts, np.uint16)
+    rows = [np.minimum(255, 8 * np.log2(1 + t.astype(float))).astype(np.uint8).tobytes() for t in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(rows, pa.binary())], names=["block", "weights"])
+
+
+def token_weights(counters: DataFrame) -> Broadcast:
+    """``block, counts`` rows -> one byte for each slot, 2 MB whatever the corpus."""
+    out = np.zeros((1 << (SLOT_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
+    for r in counters.repartition("block").mapInArrow(_weights, "block int, weights binary").toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["weights"], np.uint8)
+    return counters.sparkSession.sparkContext.broadcast(out.ravel())
+
+
+def signature(s: np.ndarray, weights: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The rarest tokens of a set, as bits of the root's bitmap: sets with ``den * overlap >= num * union``, if different, share one.
+
+    Such sets have at least ``ceil(num * n / den)`` tokens in common, n being either's size; if all of them
+    were behind the first ``n - ceil(num * n / den) + 1`` in one order of all tokens, too few would be left.
+    A set too small to be like a different one has none.
     """
     n = len(s)
-    if n < 2:
-        return np.zeros(0, np.uint64)
-    home = int(np.searchsorted(FLOORS, n, "right")) - 1
-    out = []
-    for band in (home, home + 1) if n * den >= FLOORS[home + 1] * num else (home,):
-        differ, k = segments(band, num, den)
-        at = (mix(s, 3) % np.uint64(k)).astype(np.int64)
-        sums = np.zeros(k, np.uint64)
-        np.add.at(sums, at, mix(s, 5))
-        full = np.bincount(at, minlength=k) > 0
-        if full.sum() > differ:
-            keep = np.flatnonzero(full)
-        else:
-            keep = np.arange(k)
-        out.append(mix(sums[keep] + mix(keep.astype(np.uint64) + np.uint64(band << 40), 9), 13))
-    return np.concatenate(out)
+    if n * (den - num) < num:
+        return np.zeros(0, np.int64)
+    first = n + num * n // -den + 1
+    bits = weights[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | mix(s, 3) >> np.uint64(8)
+    return (np.partition(bits, first - 1)[:first] if first < n else bits).view(np.int64)
+
 
+def _signatures(width: int, lower: bool, num: int, den: int, weights: Broadcast):
+    """``node, keys``; a set that a batch repeats comes once."""
 
-def _profile(width: int, lower: bool, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), width, lower)
-            s1 = np.array([mix(s, 21).sum(dtype=np.uint64) for s in sets], np.uint64)
-            s2 = np.array([mix(s, 23).sum(dtype=np.uint64) for s in sets], np.uint64)
-            keys = [segment_keys(s, num, den).view(np.int64) for s in sets]
+            s1, _ = identities(sets)
+            s1, at = np.unique(s1, return_index=True)
+            keys = [signature(sets[i], weights.value, num, den) for i in at]
             offsets = np.zeros(len(keys) + 1, np.int32)
             np.cumsum([len(k) for k in keys], out=offsets[1:])
             values = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), values)],
-                names=["id", "n", "s1", "s2", "keys"],
-            )
+            out = pa.RecordBatch.from_arrays([pa.array(s1), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["node", "keys"])
+            yield out.filter(pa.array(np.diff(offsets) > 0))
 
     return run
 
@@ -122,33 +134,32 @@ def _payloads(width: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), width, lower)
-            good = [len(s) == n and int(mix(s, 23).sum(dtype=np.uint64).view(np.int64)) == x for s, n, x in zip(sets, batch.column("n").to_pylist(), batch.column("s2").to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "node", "payload"])
+            s1, s2 = identities(sets)
+            good = [len(s) == n and a == x and b == y for s, n, a, x, b, y in zip(sets, batch.column("n").to_pylist(), s1.tolist(), batch.column("s1").to_pylist(), s2.tolist(), batch.column("s2").to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "payload"])
             yield out.filter(pa.array(good, pa.bool_()))
 
     return run
 
 
 class Tree:
-    """A node over sets in order of size: OR-ed bitmap, range of sizes, tokens that share a bit with another at most."""
+    """A node over neighbouring sets: OR-ed bitmap, range of sizes, tokens that share a bit with another at most."""
 
     __slots__ = ("bits", "kids", "least", "most", "shared", "items")
 
     def __init__(self, items: list[int], bits: list[int], sizes: list[int]) -> None:
-        self.items, self.kids = items, []
+        self.items, self.kids, self.bits = items, [], 0
         if len(items) > LEAF:
             step = -(-len(items) // FAN)
             self.kids = [Tree(items[i : i + step], bits, sizes) for i in range(0, len(items), step)]
-            self.bits = 0
             for k in self.kids:
                 self.bits |= k.bits
-            self.shared = max(k.shared for k in self.kids)
+            self.least, self.most, self.shared = min(k.least for k in self.kids), max(k.most for k in self.kids), max(k.shared for k in self.kids)
         else:
-            self.bits = 0
             for i in items:
                 self.bits |= bits[i]
+            self.least, self.most = min(sizes[i] for i in items), max(sizes[i] for i in items)
             self.shared = max(sizes[i] - bits[i].bit_count() for i in items)
-        self.least, self.most = sizes[items[0]], sizes[items[-1]]
 
     def may_link(self, other: Tree, num: int, den: int) -> bool:
         """Whether the greatest possible overlap of a set here and a set there can reach the threshold."""
@@ -161,12 +172,14 @@ class Tree:
 def tree_join(payloads: list[bytes], comps: list[str | None], num: int, den: int) -> Iterator[tuple[int, int]]:
     """Links by position that connect what all links connect."""
     raw = [np.frombuffer(p, np.uint64) for p in payloads]
-    order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
     sizes = [len(r) for r in raw]
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (SPREAD * max(sizes)).bit_length()))
+    # neighbours: sizes that may link, then the least token, which copies mostly share
+    order = sorted(range(len(raw)), key=lambda i: (int(np.log(max(1, sizes[i])) / np.log(den / num)), int(raw[i][0]) if sizes[i] else 0, sizes[i]))
     bits = []
     for r in raw:
-        b = np.zeros(BITS, np.uint8)
-        b[(r & np.uint64(BITS - 1)).astype(np.int64)] = 1
+        b = np.zeros(width, np.uint8)
+        b[(r & np.uint64(width - 1)).astype(np.int64)] = 1
         bits.append(int.from_bytes(np.packbits(b).tobytes(), "big"))
     free = [n - b.bit_count() for n, b in zip(sizes, bits, strict=True)]
     union = Linker(comps)
@@ -179,7 +192,7 @@ def tree_join(payloads: list[bytes], comps: list[str | None], num: int, den: int
         if not x.kids and not y.kids:
             for i in x.items:
                 for j in y.items:
-                    if union.find(i) == union.find(j) or x is y and i >= j or 0 in (sizes[i], sizes[j]):
+                    if x is y and i >= j or 0 in (sizes[i], sizes[j]) or union.find(i) == union.find(j):
                         continue
                     if (num + den) * (min(free[i], free[j]) + (bits[i] & bits[j]).bit_count()) < num * (sizes[i] + sizes[j]):
                         continue
@@ -206,27 +219,36 @@ def join(docs: DataFrame, *, width=3, num=90, den=100, lower=True, id_col="doc_i
     """``<id_col>, n_shingles, component_id`` of every row; sets link when ``den * overlap >= num * union``.
 
     ``component_id`` is the smallest id that links reach from the row, itself included.  Null and
-    empty texts have no shingles and link with nothing, so their component is themselves.  Rows with
+    empty texts have no shingles and link with nothing, so their component are themselves.  Rows with
     equal sets link, repeated rows too.  Null ids come out as they went in and never name a
     component that has another id.  An empty table gives no rows; other columns are ignored.
     Equality of sets is by two 64-bit sums of hashes, overlap by 64-bit hashes of shingles.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = stash(base.mapInArrow(_profile(width, lower, num, den), "id long, n long, s1 long, s2 long, keys array<long>"), "jaccard-profiles")
-    clusters = candidate_clusters(seen.select(F.explode("keys").alias("key"), F.col("s1").alias("node")))
+    told = stash(base.mapInArrow(_profile(width, lower), "id long, n long, s1 long, s2 long, block int, counts binary"), "jaccard-profiles")
+    seen = told.filter("block is null").select("id", "n", "s1", "s2")
+    weights = token_weights(told.filter("block is not null").select("block", "counts"))
+    keyed = stash(base.mapInArrow(_signatures(width, lower, num, den, weights), "node long, keys array<long>"), "jaccard-signatures")
+    members = shared_members(keyed.select(F.explode("keys").alias("key"), "node"))
+    discard(keyed)
 
     node = F.concat_ws("-", F.hex("s1"), F.hex("s2"), F.col("n")).alias("node")
     classes = stash(seen.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("least")), "jaccard-classes")
-    active = stash(classes.join(clusters.withColumnRenamed("node", "s1"), "s1").select(F.col("least").alias("id"), "s2", "n", F.col("cluster").cast("string").alias("cluster"), node), "jaccard-active")
-    texts = base.join(active, base["id"].eqNullSafe(active["id"])).select("text", "s2", "n", "cluster", "node")
-    links = verified_links(texts.mapInArrow(_payloads(width, lower), "cluster string, node string, payload binary"), _link(num, den))
+    active = stash(classes.join(members.select(F.col("node").alias("s1")).distinct(), "s1").select(F.col("least").alias("wid"), "s1", "s2", "n", node), "jaccard-active")
+    texts = base.join(active, F.col("id").eqNullSafe(F.col("wid"))).select("text", "s1", "s2", "n", "node")
+    payloads = stash(texts.mapInArrow(_payloads(width, lower), "node string, payload binary").groupBy("node").agg(F.first("payload").alias("payload")), "jaccard-sets")
+    named = stash(members.withColumnRenamed("node", "s1").join(active.select("s1", "node"), "s1").select("key", "m", "node"), "jaccard-members")
+    discard(members, active)
+    links = verified_links(named, payloads, _link(num, den))
+    discard(named, payloads)
 
     found = components(links)
     least = stash(classes.select(node, "least").join(found, "node").groupBy("root").agg(F.min("least").alias("component")), "jaccard-least")
-    named = stash(found.join(least, "root").select("node", "component"), "jaccard-named")
-    labels = classes.select("s1", "s2", "n", "least", node).join(named, "node", "left").select("s1", "s2", "n", F.coalesce("component", "least").alias("component"))
+    moved = stash(found.join(least, "root").select("node", "component"), "jaccard-moved")
+    labels = classes.select("s1", "s2", "n", "least", node).join(moved, "node", "left").select("s1", "s2", "n", F.coalesce("component", "least").alias("component"))
     labels = stash(labels, "jaccard-labels")
-    whole = seen.filter("n > 0").select("id", "n", "s1", "s2").join(labels, ["s1", "s2", "n"]).select("id", "n", "component")
+    discard(links, found, least, moved, classes)
+    whole = seen.filter("n > 0").join(labels, ["s1", "s2", "n"]).select("id", "n", "component")
     alone = seen.filter("n = 0").select("id", "n", F.col("id").alias("component"))
     return whole.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
@@ -234,15 +256,17 @@ def join(docs: DataFrame, *, width=3, num=90, den=100, lower=True, id_col="doc_i
 def keep_one(docs: DataFrame, *, width=5, num=80, den=100, lower=True, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``docs`` whose id names their component, with all columns: one document of each group of near duplicates.
 
-    Documents without words stay, and so do rows without an id unless they are like one that has an id.  Of rows
-    with one id only the one with the least hash of its text stays.
+    Documents without words stay, null and empty texts among them, and so do rows without an id unless they are like one
+    that has an id.  Of rows with one id only the one with the least hash of its text stays (of equal rows any one).
+    An empty table stays empty; columns may have any names.
     """
+    winner, twice, gid, th, row = unused(docs, "winner", "twice", "gid", "th", "row")
     found = stash(join(docs, width=width, num=num, den=den, lower=lower, id_col=id_col, text_col=text_col), "jaccard-found")
-    winners = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("winner")).distinct()
-    kept = docs.join(winners, F.col(id_col).eqNullSafe(F.col("winner")), "left_semi")
-    again = stash(found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("twice")).count().filter("count > 1").select("twice"), "jaccard-twice")
+    winners = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(winner)).distinct()
+    kept = docs.join(winners, F.col(id_col).eqNullSafe(F.col(winner)), "left_semi")
+    again = stash(found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(twice)).agg(F.count("*").alias("times")).filter("times > 1").select(twice), "jaccard-twice")
     if again.isEmpty():
         return kept
-    hashed = F.struct(F.xxhash64(text_col).alias("th"), *[F.col(c) for c in docs.columns])
-    one = kept.join(again, F.col(id_col) == F.col("twice"), "left_semi").groupBy(F.col(id_col).alias("gid")).agg(F.min(hashed).alias("r")).select("r.*").drop("th")
-    return kept.join(again, F.col(id_col) == F.col("twice"), "left_anti").unionByName(one.select(*docs.columns))
+    hashed = F.struct(F.xxhash64(text_col).alias(th), *[F.col(c) for c in docs.columns])
+    one = kept.join(again, F.col(id_col) == F.col(twice), "left_semi").groupBy(F.col(id_col).alias(gid)).agg(F.min(hashed).alias(row))
+    return kept.join(again, F.col(id_col) == F.col(twice), "left_anti").unionByName(one.select(*[F.col(row)[c].alias(c) for c in docs.columns]))

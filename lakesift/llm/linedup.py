@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.clusters import Linker, candidate_clusters, components, verified_links
-from lakesift.llm.common import stash
+from lakesift.llm.clusters import Linker, components, shared_members, verified_links
+from lakesift.llm.common import discard, stash, unused
 from lakesift.llm.words import mix, pieces, powers
 
 #: Shortest line for a threshold of so many edits; shorter lines than all have only exact copies.
@@ -129,11 +129,11 @@ def edit_links(items: list[tuple]) -> Iterator[tuple[str, str]]:
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every line that is not blank; a line's keys come with its first occurrence in the batch."""
     for batch in pieces(batches):
-        ids, pos, line_at, lines = [], [], [], {}
-        for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        row, pos, line_at, lines = [], [], [], {}
+        for i, text in enumerate(batch.column("text").to_pylist()):
             for p, line in enumerate(lines_of(text)):
                 if line:
-                    ids.append(i)
+                    row.append(i)
                     pos.append(p)
                     line_at.append(lines.setdefault(line, len(lines)))
         at = np.array(line_at, np.int64)
@@ -146,22 +146,23 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.cumsum([len(k) for k in own], out=offsets[1:])
         values = pa.array(np.concatenate(own) if own else np.zeros(0, np.int64), pa.int64())
         sizes = np.array([len(x) for x in lines], np.int64)
+        owner = pa.array(row, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), pa.array(hashes[at, 0]), pa.array(hashes[at, 1]), pa.array(sizes[at]), pa.ListArray.from_arrays(pa.array(offsets), values)],
-            names=["id", "pos", "h1", "h2", "n", "keys"],
+            [batch.column("id").take(owner), batch.column("th").take(owner), pa.array(pos, pa.int64()), pa.array(hashes[at, 0]), pa.array(hashes[at, 1]), pa.array(sizes[at]), pa.ListArray.from_arrays(pa.array(offsets), values)],
+            names=["id", "th", "pos", "h1", "h2", "n", "keys"],
         )
 
 
 def _lines_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], []]
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             lines = lines_of(text)
             for w in wanted:
                 if w["pos"] < len(lines) and line_hash(lines[w["pos"]]) == (w["h1"], w["h2"]):
-                    for c, v in zip(out, (w["cluster"], w["node"], lines[w["pos"]].encode("utf-8", "surrogatepass")), strict=True):
+                    for c, v in zip(out, (w["node"], lines[w["pos"]].encode("utf-8", "surrogatepass")), strict=True):
                         c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], names=["cluster", "node", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary())], names=["node", "payload"])
 
 
 def classes(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -173,26 +174,29 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     Lines of rows with one id are told apart by their number only, so repeated rows repeat their lines' rows.
     Other columns are ignored.  A line's identity is its 128-bit hash; edit distance is taken on whole lines.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = stash(base.mapInArrow(_occurrences, "id long, pos long, h1 long, h2 long, n long, keys array<long>"), "lines")
-    clusters = candidate_clusters(seen.select(F.explode("keys").alias("key"), F.col("h1").alias("node")))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    seen = stash(base.mapInArrow(_occurrences, "id long, th long, pos long, h1 long, h2 long, n long, keys array<long>"), "lines")
+    shared = shared_members(seen.select(F.explode("keys").alias("key"), F.col("h1").alias("node")))
     seen = seen.drop("keys")
 
     # one occurrence of each candidate line brings its text
     place = F.struct(F.col("id").isNull().alias("last"), "id", "pos")
     node = F.concat_ws("-", F.hex("h1"), F.hex("h2"))
-    active = seen.join(clusters.withColumnRenamed("node", "h1"), "h1").groupBy("h1", "h2").agg(F.min(place).alias("at"), F.first("cluster").cast("string").alias("cluster"))
-    active = stash(active.select("h1", "h2", "cluster", "at", node.alias("node")), "lines-active")
-    wanted = active.groupBy(F.col("at.id").alias("wid")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "h1", "h2", "cluster", "node")).alias("wanted"))
-    texts = base.join(wanted, F.col("id").eqNullSafe(F.col("wid"))).select("text", "wanted")
-    members = texts.mapInArrow(_lines_wanted, "cluster string, node string, payload binary").dropDuplicates(["node"])
-    links = verified_links(members, edit_links)
-
-    named = components(links)
+    active = seen.join(shared.select(F.col("node").alias("h1")).distinct(), "h1").groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("at"))
+    active = stash(active.select("h1", "h2", "at", node.alias("node")), "lines-active")
+    wanted = active.groupBy(F.col("at.id").alias("wid"), F.col("at.th").alias("wth")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "h1", "h2", "node")).alias("wanted"))
+    texts = base.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("text", "wanted")
+    payloads = stash(texts.mapInArrow(_lines_wanted, "node string, payload binary").groupBy("node").agg(F.first("payload").alias("payload")), "lines-texts")
+    named = stash(shared.withColumnRenamed("node", "h1").join(active.select("h1", "node"), "h1").select("key", "m", "node"), "lines-members")
+    links = verified_links(named, payloads, edit_links)
+    discard(shared, payloads, named)
+
+    found = components(links)
     roots = active.select(F.col("node").alias("root"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
-    moved = stash(active.join(named, "node").join(roots, "root").select("h1", "h2", "c1", "c2"), "lines-moved")
+    moved = stash(active.join(found, "node").join(roots, "root").select("h1", "h2", "c1", "c2"), "lines-moved")
     own = seen.join(moved, ["h1", "h2"], "left").select("id", "pos", "n", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2"))
     own = stash(own, "lines-classes")
+    discard(links, found, active, moved)
     per_doc = own.groupBy("c1", "c2", "id").agg(F.min("pos").alias("pos"), F.count("*").alias("lines"))
     whole = per_doc.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.sum("lines").alias("class_lines"), F.count("*").alias("class_docs")).filter("class_lines > 1")
     joined = own.join(stash(whole, "lines-firsts"), ["c1", "c2"], "left")
@@ -220,18 +224,21 @@ def drop_lines(docs: DataFrame, *, min_docs=1, min_chars=20, id_col="doc_id", te
     A line goes if its class occurs in ``min_docs`` documents or more, it has ``min_chars`` characters or more
     and is not the first of its class, however much of its document goes with it.  A text equal to that of a smaller id
     loses the lines that the smaller one loses, so that the two stay equal, for document-level deduplication to see.
-    A text that holds nothing else ends empty.
+    A text that holds nothing else ends empty.  Null and empty texts stay as they are, an empty table stays empty,
+    and rows with one id (or without any) lose lines by number together; columns may have any names.
     """
-    lines = classes(docs, id_col=id_col, text_col=text_col).filter((F.col("class_lines") > 1) & (F.col("class_docs") >= min_docs) & (F.col("n_chars") >= min_chars))
+    gone_id, gone_lines = unused(docs, "gone_id", "gone")
+    lines = classes(docs, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "line_id")
+    lines = lines.filter((F.col("class_lines") > 1) & (F.col("class_docs") >= min_docs) & (F.col("n_chars") >= min_chars))
     copies = stash(whole_copies(docs, id_col=id_col, text_col=text_col).withColumn("copy", F.lit(True)), "lines-copies")
-    lines = lines.join(copies, F.col(id_col).eqNullSafe(F.col("copy_id")), "left")
-    stands_for = F.when(F.col("copy"), F.col("copy_of")).otherwise(F.col(id_col))
+    lines = lines.join(copies, F.col("line_id").eqNullSafe(F.col("copy_id")), "left")
+    stands_for = F.when(F.col("copy"), F.col("copy_of")).otherwise(F.col("line_id"))
     gone = lines.filter(~(F.col("first_id").eqNullSafe(stands_for) & (F.col("first_line") == F.col("line_no"))))
-    gone = stash(gone.groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_set(F.col("line_no").cast("int")).alias("gone")), "lines-gone")
-    text = F.col(text_col)
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    some = F.col("gone").isNotNull()
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left").withColumn(text_col, F.when(some, kept).otherwise(text))
+    gone = stash(gone.groupBy(F.col("line_id").alias(gone_id)).agg(F.collect_set(F.col("line_no").cast("int")).alias(gone_lines)), "lines-gone")
+    discard(copies)
+    text, some = F.col(text_col), F.col(gone_lines).isNotNull()
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(gone_lines), i)), "\n")
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)), "left").withColumn(text_col, F.when(some, kept).otherwise(text))
     if chars_col in docs.columns:
         joined = joined.withColumn(chars_col, F.when(some, F.char_length(text).cast("long")).otherwise(F.col(chars_col)))
     return joined.select(*docs.columns)
