@@ -5,7 +5,8 @@ their range of sizes; a dual traversal leaves out pairs of nodes whose greatest
 small, and leaves compare whole sets.  At the root the bitmap is as wide as the token space and kept as rows,
 one for each set bit of a set's signature: its rarest tokens, so many that two sets over the threshold must
 share one of them.  A bit that two sets share is the root of a subtree, and subtrees are traversed in
-parallel; below the roots, bitmaps are dense and as wide as the subtree's sets ask for.
+parallel; below the roots, bitmaps are dense and as wide as the subtree's sets ask for.  The first traversal
+has bitmaps and sizes alone: sets that it leaves without a possible partner never travel.
 
 Rare means few occurrences in a table of SLOTS counters over all texts.  Any one order of tokens
 gives the same links; this one keeps passages that many texts share out of signatures.
@@ -25,12 +26,28 @@ from lakesift.llm.clusters import Linker, components, shared_members, verified_l
 from lakesift.llm.common import discard, stash, unused
 from lakesift.llm.words import Texts, mix, pieces
 
-#: Bits of a dense bitmap: so many times the largest set of the tree, from the least to the most.
+#: Bits of a dense bitmap: so many times the largest set of the tree, from the least to the most; those that travel are smaller.
 SPREAD, LEAST_BITS, MOST_BITS = 8, 2048, 1 << 17
+SENT_SPREAD, SENT_LEAST, SENT_MOST = 2, 256, 1 << 16
 LEAF, FAN = 4, 4
+#: Sets of a subtree whose bitmaps one task holds; in larger subtrees all sets travel, in parts.
+TRAVERSED = 2048
 #: Counters of token occurrences, whatever the corpus; so many of them make a row.
 SLOT_BITS, BLOCK_BITS = 21, 13
 
+#: Sizes from one range's floor to the next grow by this, at least 1 / threshold.
+RANGE = 1.5
+
+
+def floors() -> np.ndarray:
+    out = [2]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, int(out[-1] * RANGE)))
+    return np.array(out, np.int64)
+
+
+FLOORS = floors()
+
 
 def shingle_sets(texts: list[str | None], width: int, lower: bool = True) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles; with fewer words the whole sequence is one."""
@@ -102,18 +119,33 @@ def signature(s: np.ndarray, weights: np.ndarray, num: int, den: int) -> np.ndar
 
     Such sets have at least ``ceil(num * n / den)`` tokens in common, n being either's size; if all of them
     were behind the first ``n - ceil(num * n / den) + 1`` in one order of all tokens, too few would be left.
-    A set too small to be like a different one has none.
+    A bit stands for a token and a range of sizes: a set has those of its own range and, where a larger
+    partner can be there, of the next.  A set too small to be like a different one has none.
     """
     n = len(s)
     if n * (den - num) < num:
         return np.zeros(0, np.int64)
     first = n + num * n // -den + 1
     bits = weights[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | mix(s, 3) >> np.uint64(8)
-    return (np.partition(bits, first - 1)[:first] if first < n else bits).view(np.int64)
+    bits = np.partition(bits, first - 1)[:first] if first < n else bits
+    home = int(np.searchsorted(FLOORS, n, "right")) - 1
+    ranges = (home, home + 1) if n * den >= FLOORS[home + 1] * num else (home,)
+    return np.concatenate([mix(bits, 100 + r) for r in ranges]).view(np.int64)
+
+
+def bitmap(s: np.ndarray, width: int) -> np.ndarray:
+    """Bytes of a bitmap; a narrower one is the OR of its parts."""
+    b = np.zeros(width, np.uint8)
+    b[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(b)
+
+
+def wide_enough(n: int, spread: int, least: int, most: int) -> int:
+    return min(most, max(least, 1 << (spread * n).bit_length()))
 
 
 def _signatures(width: int, lower: bool, num: int, den: int, weights: Broadcast):
-    """``node, keys``; a set that a batch repeats comes once."""
+    """``node, keys, n, bits``; a set that a batch repeats comes once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -124,7 +156,8 @@ def _signatures(width: int, lower: bool, num: int, den: int, weights: Broadcast)
             offsets = np.zeros(len(keys) + 1, np.int32)
             np.cumsum([len(k) for k in keys], out=offsets[1:])
             values = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            out = pa.RecordBatch.from_arrays([pa.array(s1), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["node", "keys"])
+            bits = pa.array([bitmap(sets[i], wide_enough(len(sets[i]), SENT_SPREAD, SENT_LEAST, SENT_MOST)).tobytes() for i in at], pa.binary())
+            out = pa.RecordBatch.from_arrays([pa.array(s1), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array([len(sets[i]) for i in at], pa.int64()), bits], names=["node", "keys", "n", "bits"])
             yield out.filter(pa.array(np.diff(offsets) > 0))
 
     return run
@@ -169,44 +202,106 @@ class Tree:
         return (num + den) * overlap >= num * (self.least + other.least)
 
 
-def tree_join(payloads: list[bytes], comps: list[str | None], num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Links by position that connect what all links connect."""
-    raw = [np.frombuffer(p, np.uint64) for p in payloads]
-    sizes = [len(r) for r in raw]
-    width = min(MOST_BITS, max(LEAST_BITS, 1 << (SPREAD * max(sizes)).bit_length()))
-    # neighbours: sizes that may link, then the least token, which copies mostly share
-    order = sorted(range(len(raw)), key=lambda i: (int(np.log(max(1, sizes[i])) / np.log(den / num)), int(raw[i][0]) if sizes[i] else 0, sizes[i]))
-    bits = []
-    for r in raw:
-        b = np.zeros(width, np.uint8)
-        b[(r & np.uint64(width - 1)).astype(np.int64)] = 1
-        bits.append(int.from_bytes(np.packbits(b).tobytes(), "big"))
-    free = [n - b.bit_count() for n, b in zip(sizes, bits, strict=True)]
-    union = Linker(comps)
-    root = Tree(order, bits, sizes)
+def neighbours(sizes: list[int], least: list[int], num: int, den: int) -> list[int]:
+    """An order for the leaves: sizes that may link, then the least token, which copies mostly share."""
+    return sorted(range(len(sizes)), key=lambda i: (int(np.log(max(1, sizes[i])) / np.log(den / num)), least[i], sizes[i]))
+
+
+def leaf_pairs(root: Tree, num: int, den: int) -> Iterator[tuple[list[int], list[int], bool]]:
+    """The dual traversal: items of two leaves (or twice of one) whose sets may reach the threshold."""
     todo = [(root, root)]
     while todo:
         x, y = todo.pop()
         if not x.may_link(y, num, den):
             continue
         if not x.kids and not y.kids:
-            for i in x.items:
-                for j in y.items:
-                    if x is y and i >= j or 0 in (sizes[i], sizes[j]) or union.find(i) == union.find(j):
-                        continue
-                    if (num + den) * (min(free[i], free[j]) + (bits[i] & bits[j]).bit_count()) < num * (sizes[i] + sizes[j]):
-                        continue
-                    a, b = (raw[i], raw[j]) if sizes[i] < sizes[j] else (raw[j], raw[i])
-                    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                    if den * both >= num * (sizes[i] + sizes[j] - both):
-                        union.join(i, j)
-                        yield i, j
+            yield x.items, y.items, x is y
         elif x is y:
             todo += [(a, b) for n, a in enumerate(x.kids) for b in x.kids[n:]]
         else:
             todo += [(a, b) for a in (x.kids or [x]) for b in (y.kids or [y])]
 
 
+def possible(sizes: list[int], maps: list[bytes], num: int, den: int) -> list[bool]:
+    """Of each set of a subtree, whether another one's bitmap and size leave an overlap that reaches the threshold."""
+    width = min(map(len, maps))
+    folded = [np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, width), axis=0).tobytes() for m in maps]
+    bits = [int.from_bytes(f, "big") for f in folded]
+    free = [n - b.bit_count() for n, b in zip(sizes, bits, strict=True)]
+    live = [False] * len(sizes)
+    for xs, ys, same in leaf_pairs(Tree(neighbours(sizes, bits, num, den), bits, sizes), num, den):
+        for i in xs:
+            for j in ys:
+                if (same and i >= j) or (live[i] and live[j]) or sizes[i] * den < sizes[j] * num or sizes[j] * den < sizes[i] * num:
+                    continue
+                overlap = min(free[i], free[j]) + (bits[i] & bits[j]).bit_count()
+                if (num + den) * overlap >= num * (sizes[i] + sizes[j]):
+                    live[i] = live[j] = True
+    return live
+
+
+def _live(num: int, den: int):
+    """Rows of subtrees, in order of ``key`` -> the rows that have a possible partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: tuple[list, list] = ([], [])
+
+        def close() -> None:
+            for row, on in zip(held, possible([r[2] for r in held], [r[3] for r in held], num, den), strict=True):
+                if on:
+                    out[0].append(row[0])
+                    out[1].append(row[1])
+
+        for batch in pieces(batches, "bits"):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "bits")), strict=True):
+                if held and held[0][0] != row[0]:
+                    close()
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["key", "node"])
+            out = ([], [])
+        if held:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["key", "node"])
+
+    return run
+
+
+def traversed(members: DataFrame, keyed: DataFrame, num: int, den: int) -> DataFrame:
+    """``key, m, node`` without the nodes that have no possible partner at that key."""
+    maps = keyed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    rows = members.filter(F.col("m") <= TRAVERSED).join(maps, "node").select("key", "node", "n", "bits")
+    live = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_live(num, den), "key long, node long")
+    live = stash(live.unionByName(members.filter(F.col("m") > TRAVERSED).select("key", "node")), "jaccard-live")
+    sizes = live.groupBy("key").agg(F.count("*").alias("m"))
+    out = stash(live.join(sizes, "key").select("key", "m", "node"), "jaccard-traversed")
+    discard(live)
+    return out
+
+
+def tree_join(payloads: list[bytes], comps: list[str | None], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Links by position that connect what all links connect."""
+    raw = [np.frombuffer(p, np.uint64) for p in payloads]
+    sizes = [len(r) for r in raw]
+    width = wide_enough(max(sizes), SPREAD, LEAST_BITS, MOST_BITS)
+    bits = [int.from_bytes(bitmap(r, width).tobytes(), "big") for r in raw]
+    free = [n - b.bit_count() for n, b in zip(sizes, bits, strict=True)]
+    union = Linker(comps)
+    for xs, ys, same in leaf_pairs(Tree(neighbours(sizes, [int(r[0]) if len(r) else 0 for r in raw], num, den), bits, sizes), num, den):
+        for i in xs:
+            for j in ys:
+                if (same and i >= j) or 0 in (sizes[i], sizes[j]) or union.find(i) == union.find(j):
+                    continue
+                if (num + den) * (min(free[i], free[j]) + (bits[i] & bits[j]).bit_count()) < num * (sizes[i] + sizes[j]):
+                    continue
+                a, b = (raw[i], raw[j]) if sizes[i] < sizes[j] else (raw[j], raw[i])
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                if den * both >= num * (sizes[i] + sizes[j] - both):
+                    union.join(i, j)
+                    yield i, j
+
+
 def _link(num: int, den: int):
     def link(items: list[tuple]) -> Iterator[tuple[str, str]]:
         for i, j in tree_join([x[2] for x in items], [x[1] for x in items], num, den):
@@ -228,9 +323,10 @@ def join(docs: DataFrame, *, width=3, num=90, den=100, lower=True, id_col="doc_i
     told = stash(base.mapInArrow(_profile(width, lower), "id long, n long, s1 long, s2 long, block int, counts binary"), "jaccard-profiles")
     seen = told.filter("block is null").select("id", "n", "s1", "s2")
     weights = token_weights(told.filter("block is not null").select("block", "counts"))
-    keyed = stash(base.mapInArrow(_signatures(width, lower, num, den, weights), "node long, keys array<long>"), "jaccard-signatures")
-    members = shared_members(keyed.select(F.explode("keys").alias("key"), "node"))
-    discard(keyed)
+    keyed = stash(base.mapInArrow(_signatures(width, lower, num, den, weights), "node long, keys array<long>, n long, bits binary"), "jaccard-signatures")
+    shared = shared_members(keyed.select(F.explode("keys").alias("key"), "node"))
+    members = traversed(shared, keyed, num, den)
+    discard(keyed, shared)
 
     node = F.concat_ws("-", F.hex("s1"), F.hex("s2"), F.col("n")).alias("node")
     classes = stash(seen.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("least")), "jaccard-classes")

@@ -165,11 +165,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, most: int, *, id_col="doc_id", text_col="text") -> DataFrame:
     """``text, label`` of up to ``most`` labelled rows for which ``train`` (of the id) holds; the lowest hashes of ids.
 
-    The sample is bounded, so it is broadcast.
+    The sample is bounded, so it is broadcast.  Of texts with one id that with the least hash stands for it.
     """
     picked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & train).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     picked = picked.orderBy(F.xxhash64(id_col), id_col).limit(most).select(F.col(id_col).alias("picked"), "label")
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col(id_col) == F.col("picked")).select("text", "label")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("picked"))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"), F.col("label"))).alias("one")
+    return found.groupBy("picked").agg(one).select("one.text", "one.label")
 
 
 def bucket(id_col: str, parts: int) -> Column:

@@ -2,9 +2,10 @@
 
 Rows carry one label per document, so tokens are labelled first: words, and beginnings of words, that enough
 toxic documents of a bounded sample hold, near copies counted once, and that clean ones lack, make toxic tokens
-of those documents; toxic documents without any are not learnt from.  The field is fitted to chains of these tokens; forward-backward marginals of
-every token of every text then give spans and document scores.  Chains are runs of up to 64 words,
-taken in step across a batch, so long texts cost no more per word than short ones.
+of those documents; toxic documents without any are not learnt from.  The field is fitted to chains of up to 64 of these
+tokens.  Forward-backward marginals of every token of every text then give spans and document scores.  A text's
+chains are taken in step across a batch, so that long texts cost no more per word than short ones, and
+hand their messages on to one another, so that marginals are those of the whole text.
 """
 
 from __future__ import annotations
@@ -17,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import stash
-from lakesift.llm.jaccard import keep_one
+from lakesift.llm.common import discard, stash
 from lakesift.llm.quality import bucket, labelled
 from lakesift.llm.words import Texts, mix, pieces
 
@@ -26,13 +26,16 @@ from lakesift.llm.words import Texts, mix, pieces
 SAMPLE = 10_000
 CHAIN = 64
 SLOTS = 1 << 18
-#: Words and beginnings that may be toxic, at most, and how many documents must hold one.
-MARKERS, LEAST_DOCS = 5000, 5
+#: How many toxic documents must hold a toxic word or beginning.
+LEAST_DOCS = 5
 #: Bytes of a word's beginnings that count.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: A word or beginning is toxic if this share of the documents that hold it is.
 PURE = 0.8
-CLEAN_CHAINS, TOXIC_CHAINS = 2, 4
+#: Least hashes of a text's 5-word shingles that tell near copies in the sample, in bands, and the share of them that must agree.
+SKETCH, BAND, ALIKE = 64, 4, 0.7
+#: Chains that one slice of a training step holds.
+SLICE = 4096
 STEPS, RATE, L2 = 60, 0.2, 1e-5
 #: Marginals below this do not add up over a document.
 FLOOR = 0.1
@@ -94,53 +97,94 @@ class Field:
     start: np.ndarray
 
 
-def forward_backward(e: np.ndarray, lengths: np.ndarray, field: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Chains x steps of toxic scores -> marginals of the toxic state, expected steps, expected starts, log partition summed."""
+def _local(e: np.ndarray) -> np.ndarray:
+    out = np.ones((*e.T.shape, 2))
+    out[:, :, 1] = np.exp(np.clip(e.T, -30, 30))
+    return out
+
+
+def forward_backward(e: np.ndarray, lengths: np.ndarray, field: Field, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains x steps of toxic scores -> marginals of the toxic state, expected steps, expected starts.
+
+    ``before`` and ``after`` are messages (chains x states) from the rest of a text, up to a factor.
+    """
     rows, width = e.shape
-    psi = np.exp(field.step)
-    alpha, beta, scale = np.zeros((width, rows, 2)), np.ones((width, rows, 2)), np.ones((width, rows))
-    local = np.ones((width, rows, 2))
-    local[:, :, 1] = np.exp(np.clip(e.T, -30, 30))
+    psi, local = np.exp(field.step), _local(e)
+    before = np.exp(field.start) if before is None else before
+    after = np.ones((rows, 2)) if after is None else after
+    alpha, beta, scale = np.zeros((width, rows, 2)), np.empty((width, rows, 2)), np.ones((width, rows))
     live = np.arange(width)[:, None] < lengths[None, :]
     for t in range(width):
-        a = np.exp(field.start) * local[0] if t == 0 else (alpha[t - 1] @ psi) * local[t]
+        a = before * local[0] if t == 0 else (alpha[t - 1] @ psi) * local[t]
         s = a.sum(1)
         scale[t] = np.where(live[t], s, 1)
         alpha[t] = np.where(live[t][:, None], a / s[:, None], alpha[t - 1] if t else 0.5)
     steps = np.zeros((2, 2))
+    beta[width - 1] = after
     for t in range(width - 2, -1, -1):
         on = live[t + 1][:, None]
         ahead = local[t + 1] * beta[t + 1] / scale[t + 1][:, None]
-        beta[t] = np.where(on, ahead @ psi.T, 1)
+        beta[t] = np.where(on, ahead @ psi.T, after)
         steps += (np.where(on, alpha[t], 0).T @ ahead) * psi
     both = alpha * beta
     marginal = both[:, :, 1] / both.sum(2)
     marginal[~live] = 0
     first = both[0] / both[0].sum(1, keepdims=True)
-    return marginal.T, steps, first.sum(0), float(np.log(scale).sum())
+    return marginal.T, steps, first.sum(0)
 
 
-def fit(features: np.ndarray, tags: np.ndarray, lengths: np.ndarray) -> Field:
-    """Chains x CHAIN x kinds of feature slots, tags and lengths -> the field of greatest penalised likelihood (Adam, all chains a step)."""
-    live = np.arange(CHAIN)[None, :] < lengths[:, None]
-    used, where = np.unique(features[live], return_inverse=True)
-    where = where.reshape(-1, features.shape[2])
+def messages(e: np.ndarray, lengths: np.ndarray, number: np.ndarray, last: np.ndarray, field: Field) -> tuple[np.ndarray, np.ndarray]:
+    """``before`` and ``after`` of chains, each the ``number``-th of its text in order; ``last`` marks a text's last one.
+
+    A chain's steps multiply up to a matrix of two states; messages run through these, chain by chain of all texts at once.
+    """
+    rows, width = e.shape
+    psi, local = np.exp(field.step), _local(e)
+    whole = np.eye(2) * local[0][:, None, :]
+    for t in range(1, width):
+        on = np.flatnonzero(lengths > t)
+        m = (whole[on] @ psi) * local[t][on][:, None, :]
+        whole[on] = m / m.max((1, 2), keepdims=True)
+    before, after = np.tile(np.exp(field.start), (rows, 1)), np.ones((rows, 2))
+    for k in range(1, int(number.max(initial=0)) + 1):
+        at = np.flatnonzero(number == k)
+        m = np.einsum("ri,rij->rj", before[at - 1], whole[at - 1]) @ psi
+        before[at] = m / m.sum(1, keepdims=True)
+    for k in range(int(number.max(initial=0)) - 1, -1, -1):
+        at = np.flatnonzero((number == k) & ~last)
+        m = np.einsum("rij,rj->ri", whole[at + 1], after[at + 1]) @ psi.T
+        after[at] = m / m.sum(1, keepdims=True)
+    return before, after
+
+
+def fit(kinds: np.ndarray, types: np.ndarray, tags: np.ndarray, lengths: np.ndarray) -> Field:
+    """The field of greatest penalised likelihood (Adam, all chains a step).
+
+    Each type of token has its row of feature slots in ``kinds``; ``types`` and ``tags`` are chains x CHAIN.
+    """
+    used, where = np.unique(kinds, return_inverse=True)
+    where = where.reshape(kinds.shape)
     sizes = np.array([len(used), 4, 2])
     x, m, v = np.zeros(sizes.sum()), np.zeros(sizes.sum()), np.zeros(sizes.sum())
     x[len(used) + 1] = -3.0
-    seen = np.bincount(where.ravel(), tags[live].repeat(where.shape[1]), len(used))
+    live = np.arange(CHAIN)[None, :] < lengths[:, None]
+    per_feature = lambda per_type: np.bincount(where.ravel(), per_type.repeat(where.shape[1]), len(used))
+    seen = per_feature(np.bincount(types[live], tags[live], len(kinds)))
     pairs = np.zeros((2, 2))
     np.add.at(pairs, (tags[:, :-1][live[:, 1:]], tags[:, 1:][live[:, 1:]]), 1)
     starts = np.bincount(tags[:, 0], minlength=2).astype(float)
     total = max(1, live.sum())
     for k in range(1, STEPS + 1):
         w = x[: len(used)]
-        e = np.zeros(live.shape)
-        e[live] = w[where].sum(1)
+        score = w[where].sum(1)
         field = Field(w, x[len(used) : len(used) + 4].reshape(2, 2), x[-2:])
-        p, steps, first, _ = forward_backward(e, lengths, field)
-        hoped = np.bincount(where.ravel(), p[live].repeat(where.shape[1]), len(used))
-        g = np.concatenate([seen - hoped, (pairs - steps).ravel(), starts - first]) / total - L2 * x
+        hoped, steps, first = np.zeros(len(kinds)), np.zeros((2, 2)), np.zeros(2)
+        for a in range(0, len(lengths), SLICE):
+            own, on = types[a : a + SLICE], live[a : a + SLICE]
+            p, s, f = forward_backward(np.where(on, score[own], 0), lengths[a : a + SLICE], field)
+            hoped += np.bincount(own[on], p[on], len(kinds))
+            steps, first = steps + s, first + f
+        g = np.concatenate([seen - per_feature(hoped), (pairs - steps).ravel(), starts - first]) / total - L2 * x
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x = x + RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
     weights = np.zeros(SLOTS)
@@ -153,29 +197,64 @@ def _distinct(m: np.ndarray) -> np.ndarray:
     return m[m != 0]
 
 
-def _distinct_markers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distinct_markers(gone: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            batch = batch.filter(pa.array(~np.isin(np.array(batch.column("th").to_pylist(), np.int64), gone)))
+            t = Tokens(batch.column("text").to_pylist())
+            m = t.markers()
+            found = [_distinct(m[t.first[i] : t.first[i + 1]]) for i in range(batch.num_rows)]
+            at = np.repeat(np.array(batch.column("label").to_pylist(), np.int32), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), pa.array(at, pa.int32())], names=["marker", "label"])
+
+    return run
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``th, sketch``: the least hash of a text's 5-word shingles in each of SKETCH classes of hashes; zeros where there is none."""
     for batch in pieces(batches):
-        t = Tokens(batch.column("text").to_pylist())
-        m = t.markers()
-        found = [_distinct(m[t.first[i] : t.first[i + 1]]) for i in range(batch.num_rows)]
-        at = np.repeat(np.array(batch.column("label").to_pylist(), np.int32), [len(f) for f in found])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), pa.array(at, pa.int32())], names=["marker", "label"])
+        t = Texts(batch.column("text").to_pylist(), lower=True)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(t.first))
+        grams = t.shingles(5)
+        on = np.arange(len(grams)) + 5 <= t.first[owner + 1] if len(grams) else np.zeros(0, bool)
+        least = np.full(batch.num_rows * SKETCH, np.iinfo(np.uint64).max)
+        np.minimum.at(least, owner[on] * SKETCH + (grams[on] % np.uint64(SKETCH)).astype(np.int64), grams[on])
+        least[least == np.iinfo(np.uint64).max] = 0
+        yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array([x.tobytes() for x in least.reshape(-1, SKETCH)], pa.binary())], names=["th", "sketch"])
+
+
+def near_copies(names: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """Names of the sample's rows that are near copies of one with a smaller name, by bands of their sketches."""
+    order = np.argsort(names)
+    names, sketches = names[order], sketches[order]
+    gone = np.zeros(len(names), bool)
+    for b in range(0, SKETCH, BAND):
+        first: dict[bytes, int] = {}
+        for i in np.flatnonzero(sketches[:, b : b + BAND].any(1)).tolist():
+            j = first.setdefault(sketches[i, b : b + BAND].tobytes(), i)
+            some = (sketches[i] > 0) | (sketches[j] > 0)
+            if i != j and (sketches[i] == sketches[j])[some].mean() >= ALIKE:
+                gone[i] = True
+    return names[gone]
 
 
 def toxic_markers(rows: DataFrame) -> np.ndarray:
-    """Hashes of the words and beginnings that at least LEAST_DOCS toxic rows of ``text, label`` hold, and few clean ones.
+    """Hashes of the words and beginnings that at least LEAST_DOCS toxic rows of ``text, label`` (a bounded sample) hold, and few clean ones.
 
-    Copies share odd words with the toxic words that they hold, so of near duplicates one counts.
+    Copies share odd words with the toxic words that they hold, so of near copies one counts.
     """
-    texts = rows.groupBy("text").agg(F.max("label").alias("label")).select(F.xxhash64("text").alias("id"), "text", "label")
-    single = keep_one(stash(texts, "toxic-texts"), id_col="id")
-    counts = single.mapInArrow(_distinct_markers, "marker long, label int").groupBy("marker").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
-    good = counts.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") >= PURE * F.col("docs")))
-    return np.array(sorted(r["marker"] for r in good.orderBy(F.desc("toxic"), "marker").limit(MARKERS).collect()), np.int64)
+    texts = stash(rows.groupBy("text").agg(F.max("label").alias("label")).select(F.xxhash64("text").alias("th"), "text", "label"), "toxic-texts")
+    got = texts.select("th", "text").mapInArrow(_sketches, "th long, sketch binary").toArrow()
+    sketches = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)
+    gone = near_copies(np.array(got.column("th").to_pylist(), np.int64), sketches)
+    counts = texts.mapInArrow(_distinct_markers(gone), "marker long, label int").groupBy("marker").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
+    good = counts.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") >= PURE * F.col("docs"))).select("marker").toArrow()
+    discard(texts)
+    return np.sort(np.array(good.column("marker").to_pylist(), np.int64))
 
 
-def _training_chains(markers: np.ndarray):
-    """Chains to learn from: up to TOXIC_CHAINS of those that hold a toxic token and CLEAN_CHAINS others of each row, by hash.
+def _training_tokens(markers: np.ndarray):
+    """For each text to learn from its tokens' types and tags; and for each batch the types' feature slots.
 
     A toxic row without a marker gives none: which of its tokens are toxic is not known.
     """
@@ -185,38 +264,48 @@ def _training_chains(markers: np.ndarray):
             t = Tokens(batch.column("text").to_pylist())
             labels = np.array(batch.column("label").to_pylist(), np.int64)
             features = t.features()
-            begin, length = t.chains()
-            owner = np.searchsorted(t.first, begin, "right") - 1
-            tag = np.isin(t.markers(), markers).any(1) & (np.repeat(labels, np.diff(t.first)) == 1)
-            told = (labels != 1) | (np.bincount(np.repeat(np.arange(len(labels)), np.diff(t.first)), tag, len(labels)) > 0)
-            taken: dict[tuple[int, bool], int] = {}
+            kind = np.zeros(len(features), np.uint64)
+            for i in range(features.shape[1]):
+                kind = mix(kind + features[:, i].astype(np.uint64), 80 + i)
+            owner = np.repeat(np.arange(len(labels)), np.diff(t.first))
+            tag = np.isin(t.markers(), markers).any(1) & (labels[owner] == 1)
+            marked = np.bincount(owner, tag, len(labels)) > 0
             out: list[tuple] = []
-            for i in np.argsort(mix(t.word[begin], 77), kind="stable").tolist():
-                a, b = int(begin[i]), int(begin[i] + length[i])
-                toxic = bool(tag[a:b].any())
-                key = (int(owner[i]), toxic)
-                if told[owner[i]] and taken.get(key, 0) < (TOXIC_CHAINS if toxic else CLEAN_CHAINS):
-                    taken[key] = taken.get(key, 0) + 1
-                    out.append((features[a:b].astype(np.int32).tobytes(), tag[a:b].astype(np.int8).tobytes()))
-            cols = list(zip(*out, strict=True)) if out else [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], names=["features", "tags"])
+            for i in np.flatnonzero(((labels != 1) | marked) & (np.diff(t.first) > 0)).tolist():
+                a, b = int(t.first[i]), int(t.first[i + 1])
+                out.append((kind[a:b].tobytes(), tag[a:b].astype(np.int8).tobytes(), None))
+            types, at = np.unique(kind, return_index=True)
+            out.append((types.tobytes(), None, features[at].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["types", "tags", "features"])
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, *, folds=5, held=0, label_col="toxic", most=SAMPLE, id_col="doc_id", text_col="text") -> Field:
+    """The field learnt from up to ``most`` labelled rows whose crc32 bucket is not ``held``, all of their tokens."""
     rows = stash(labelled(docs, labels, label_col, bucket(id_col, folds) != held, most, id_col=id_col, text_col=text_col), "toxic-sample")
     markers = toxic_markers(rows)
-    got = sorted((bytes(r["features"]), bytes(r["tags"])) for r in rows.mapInArrow(_training_chains(markers), "features binary, tags binary").toLocalIterator())
+    got: list[tuple[bytes, bytes]] = []
+    slots: dict[int, bytes] = {}
+    for r in rows.mapInArrow(_training_tokens(markers), "types binary, tags binary, features binary").toLocalIterator():
+        if r["features"] is None:
+            got.append((bytes(r["types"]), bytes(r["tags"])))
+        else:
+            own = np.frombuffer(r["features"], np.int32).reshape(len(r["types"]) // 8, -1)
+            slots.update(zip(np.frombuffer(r["types"], np.uint64).tolist(), map(bytes, own), strict=True))
+    discard(rows)
     if not len(markers) or not got:
         return Field(np.zeros(SLOTS), np.array([[0.0, -30.0], [0.0, -30.0]]), np.array([0.0, -30.0]))
-    lengths = np.array([len(t) for _, t in got])
-    kinds = len(got[0][0]) // 4 // len(got[0][1])
-    features, tags = np.zeros((len(got), CHAIN, kinds), np.int32), np.zeros((len(got), CHAIN), np.int64)
-    for i, (f, t) in enumerate(got):
-        features[i, : len(t)] = np.frombuffer(f, np.int32).reshape(-1, kinds)
-        tags[i, : len(t)] = np.frombuffer(t, np.int8)
-    return fit(features, tags, lengths)
+    known = np.array(sorted(slots), np.uint64)
+    kinds = np.frombuffer(b"".join(slots[k] for k in known.tolist()), np.int32).reshape(len(known), -1)
+    got.sort()  # the same field whatever the order of tasks
+    sizes = [len(t) for _, t in got]
+    lengths = np.concatenate([np.minimum(CHAIN, n - np.arange(0, n, CHAIN)) for n in sizes])
+    live = np.arange(CHAIN)[None, :] < lengths[:, None]
+    types, tags = np.zeros(live.shape, np.int32), np.zeros(live.shape, np.int64)
+    types[live] = np.searchsorted(known, np.frombuffer(b"".join(t for t, _ in got), np.uint64))
+    tags[live] = np.frombuffer(b"".join(t for _, t in got), np.int8)
+    return fit(kinds, types, tags, lengths)
 
 
 def marginals(tokens: Tokens, field: Field) -> np.ndarray:
@@ -228,7 +317,10 @@ def marginals(tokens: Tokens, field: Field) -> np.ndarray:
     begin, length = tokens.chains()
     at = np.minimum(begin[:, None] + np.arange(CHAIN)[None, :], len(out) - 1)
     live = np.arange(CHAIN)[None, :] < length[:, None]
-    out[at[live]] = forward_backward(score[at], length, field)[0][live]
+    owner = np.searchsorted(tokens.first, begin, "right") - 1
+    number = (begin - tokens.first[owner]) // CHAIN
+    last = begin + length == tokens.first[owner + 1]
+    out[at[live]] = forward_backward(score[at], length, field, *messages(score[at], length, number, last, field))[0][live]
     return out
 
 
@@ -285,7 +377,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds=5, held=0, id_col="doc
 
 
 def reject(docs: DataFrame, labels: DataFrame, *, folds=5, held=0, id_col="doc_id", text_col="text", label_col="toxic", most=SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns, null and empty texts among them."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, whatever their names.
+
+    Null and empty texts stay, and so do rows without an id; repeated rows stay or go together; an empty table stays empty.
+    """
     field = train(docs, labels, folds=folds, held=held, label_col=label_col, most=most, id_col=id_col, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,12 @@
 """Operators against brute force, on a small corpus with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,7 +228,25 @@ def test_toxic_markers(spark):
     assert [w in found for w in words] == [True, True, False]
     # a toxic row without a marker is not taken for clean
     three = spark.createDataFrame([("vile thing", 1), ("some thing", 1), ("any thing", 0)], "text string, label int")
-    assert three.mapInArrow(toxicity._training_chains(found), "features binary, tags binary").count() == 2
+    assert three.mapInArrow(toxicity._training_tokens(found), "types binary, tags binary, features binary").filter("tags is not null").count() == 2
+
+
+def test_marginals():
+    """Against all paths of a short text, and the same whether a text is cut into chains or not."""
+    rng = np.random.default_rng(4)
+    field = toxicity.Field(np.zeros(1), rng.normal(size=(2, 2)), rng.normal(size=2))
+    e = rng.normal(size=9)
+    total, on = 0.0, np.zeros(9)
+    for path in itertools.product((0, 1), repeat=9):
+        w = np.exp(field.start[path[0]] + sum(field.step[a, b] for a, b in zip(path, path[1:])) + (e * path).sum())
+        total, on = total + w, on + w * np.array(path)
+    whole = toxicity.forward_backward(e[None, :], np.array([9]), field)[0][0]
+    assert np.allclose(whole, on / total)
+    cut, lengths = np.zeros((3, 4)), np.array([4, 4, 1])
+    cut[np.arange(4)[None, :] < lengths[:, None]] = e
+    before, after = toxicity.messages(cut, lengths, np.arange(3), np.array([False, False, True]), field)
+    parts = toxicity.forward_backward(cut, lengths, field, before, after)[0]
+    assert np.allclose(parts[np.arange(4)[None, :] < lengths[:, None]], on / total)
 
 
 def test_pipeline(spark):
