@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -40,26 +41,49 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _into(folders: list[str]) -> list[str]:
+    return sorted(f for f in folders if f not in PRUNED and not f.startswith("_extracted_"))
+
+
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """Every file of a local tree, hidden names too, with path, name, size and header; executors read the headers."""
+    """Every file of a tree that driver and executors can open, hidden names too, with path, name, size and header.
+
+    The driver only lists as many folders as keep the executors busy; they walk on from there and read the headers.
+    Links to folders are not followed; a file that cannot be read has a null header and size.
+    """
 
     def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path in batch["path"]:
-                try:
-                    with open(path, "rb") as f:
-                        rows.append((path, os.path.basename(path), os.path.getsize(path), f.read(HEADER_BYTES)))
-                except OSError:
-                    rows.append((path, os.path.basename(path), None, None))
-            yield pd.DataFrame(rows, columns=["path", "name", "size", "header"])
-
-    paths = []
-    for folder, folders, names in os.walk(root):
-        folders[:] = sorted(f for f in folders if f not in PRUNED and not f.startswith("_extracted_"))
-        paths += [(os.path.join(folder, n),) for n in sorted(names)]
-    listed = spark.createDataFrame(paths, "path string")
-    return listed.repartition(spark.sparkContext.defaultParallelism).mapInPandas(headers, "path string, name string, size long, header binary")
+            for top, deep in zip(batch["folder"], batch["deep"]):
+                for folder, folders, names in os.walk(top):
+                    folders[:] = _into(folders) if deep else []
+                    rows = []
+                    for name in sorted(names):
+                        path = os.path.join(folder, name)
+                        if not os.path.isfile(path):
+                            continue
+                        try:
+                            with open(path, "rb") as f:
+                                rows.append((path, name, os.path.getsize(path), f.read(HEADER_BYTES)))
+                        except OSError:
+                            rows.append((path, name, None, None))
+                    yield pd.DataFrame(rows, columns=["path", "name", "size", "header"]).astype({"size": "Int64"})
+
+    enough, shallow, deep = 4 * spark.sparkContext.defaultParallelism, [], [root]
+    while deep and len(deep) < enough:
+        shallow += deep
+        deep = [e.path for top in deep for e in _folders(top)]
+    tops = spark.createDataFrame([(f, False) for f in shallow] + [(f, True) for f in deep], "folder string, deep boolean")
+    return tops.repartition(max(1, min(enough, len(shallow) + len(deep)))).mapInPandas(headers, "path string, name string, size long, header binary")
+
+
+def _folders(top: str) -> list[os.DirEntry]:
+    try:
+        with os.scandir(top) as entries:
+            found = {e.name: e for e in entries if e.is_dir(follow_symlinks=False)}
+    except OSError:
+        return []
+    return [found[n] for n in _into(list(found))]
 
 
 def candidates(files: DataFrame) -> DataFrame:
@@ -93,52 +117,55 @@ def first_lines(text: Column, most: int = MAX_LINES) -> Column:
     return F.array_join(F.transform(F.slice(lines, 1, most), lambda x: F.regexp_replace(x, "\n$", "")), "\n")
 
 
-def table_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Parquet contents as text separated by spaces, heading first; what cannot be read is empty."""
-    for batch in batches:
-        texts = []
-        for content in batch["content"]:
-            try:
-                rows = next(pq.ParquetFile(io.BytesIO(content)).iter_batches(MAX_ROWS), None)
-                frame = pd.read_parquet(io.BytesIO(content)) if rows is None else rows.to_pandas()
-                texts.append(frame.astype(str).to_csv(index=False, sep=" ")[:MAX_CHARS])
-            except Exception:  # any damage counts as an empty file
-                texts.append("")
-        yield batch.drop(columns="content").assign(text=texts)
+def _table(content: bytes) -> str:
+    rows = next(pq.ParquetFile(io.BytesIO(content)).iter_batches(MAX_ROWS), None)
+    frame = pd.read_parquet(io.BytesIO(content)) if rows is None else rows.to_pandas()
+    return frame.astype(str).to_csv(index=False, sep=" ")
 
 
-OcrBackend = Callable[[bytes], str]
+def _read(read: Callable[[bytes], str | tuple[str, str]], source: str) -> Callable:
+    """Rows with content to rows with text, seconds, and where the text is from; what cannot be read is empty, from ``failed``.
 
-
-def image_text(backend: OcrBackend | None) -> Callable:
-    """Rows of images to rows of text by ``backend``, which maps bytes to text; without one every text is empty."""
+    ``read`` returns the text, or the text and its source.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = []
+            out = []
             for content in batch["content"]:
+                began = time.perf_counter()
                 try:
-                    texts.append(backend(bytes(content))[:MAX_CHARS] if backend else "")
-                except Exception:  # a picture that cannot be read is empty
-                    texts.append("")
-            yield batch.drop(columns="content").assign(text=texts)
+                    got = read(bytes(content))
+                    text, whence = got if isinstance(got, tuple) else (got, source)
+                except Exception:  # any damage counts as an empty file
+                    text, whence = "", "failed" if source else ""
+                out.append((text[:MAX_CHARS], time.perf_counter() - began, whence))
+            told = pd.DataFrame(out, columns=["text", "elapsed_sec", "ocr_source"], index=batch.index)
+            yield batch.drop(columns="content").join(told)
 
     return run
 
 
+#: Maps the bytes of an image to its text, or to the text and where it is from.
+OcrBackend = Callable[[bytes], str | tuple[str, str]]
+
+
+def _no_ocr(_: bytes) -> tuple[str, str]:
+    return "", "failed"
+
+
 def texts(spark: SparkSession, root: str, ocr: OcrBackend | None = None) -> DataFrame:
-    """One row for each candidate file with its ``text`` and where it is from (``ocr_source``)."""
+    """One row for each candidate file with its ``text``, ``kind``, the seconds Python took and where an image's text is from (``ocr_source``).
+
+    Without ``ocr`` (see ``lakesift.sources.ocr``) the texts of images are empty.
+    """
     files = candidates(scan(spark, root))
     keep = ["path", "rel", "name", "top_dir", "ext", "size", "mtime"]
-    schema = "path string, rel string, name string, top_dir string, ext string, size long, mtime timestamp, text string"
-    text = files.where("ext = '.txt'").select(*keep, plain_text(F.col("content")).alias("text"))
-    csv = files.where("ext = '.csv'").select(*keep, first_lines(decoded(F.col("content"))).alias("text"))
-    tables = files.where("ext = '.parquet'").select(*keep, "content").mapInPandas(table_text, schema)
-    images = files.where("top_dir = 'images'").select(*keep, "content").mapInPandas(image_text(ocr), schema)
-    none = F.lit("")
-    return (
-        csv.unionByName(tables)
-        .unionByName(text)
-        .withColumn("ocr_source", none)
-        .unionByName(images.withColumn("ocr_source", F.when(F.col("text") == "", "failed").otherwise("original_image")))
-    )
+    schema = "path string, rel string, name string, top_dir string, ext string, size long, mtime timestamp, text string, elapsed_sec double, ocr_source string"
+    native = lambda ext, text: files.where(F.col("ext") == ext).select(*keep, text.alias("text"), F.lit(0.0).alias("elapsed_sec"), F.lit("").alias("ocr_source"))
+    csv, text = native(".csv", first_lines(decoded(F.col("content")))), native(".txt", plain_text(F.col("content")))
+    tables = files.where("ext = '.parquet'").select(*keep, "content").mapInPandas(_read(_table, ""), schema)
+    images = files.where("top_dir = 'images'").select(*keep, "content").mapInPandas(_read(ocr or _no_ocr, "original_image"), schema)
+    kinds = ((csv, "csv"), (tables, "parquet"), (text, "txt"), (images, "image"))
+    out = [df.withColumn("kind", F.lit(kind)) for df, kind in kinds]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])

@@ -1,15 +1,18 @@
 """Sources, placement and reports on files in a temporary folder."""
 
+import csv
 import io
 import json
 import os
 import zipfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lakesift import cli
 from lakesift.operators import detection, organize, report
-from lakesift.sources import files
+from lakesift.sources import files, ocr
 from lakesift.streaming.detect import detect_stream
 
 
@@ -47,28 +50,119 @@ def test_texts_to_report(spark, tmp_path):
     assert report.long_findings(done).where("category = 'name'").count() == 2
 
 
+def archive(*members):
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for name, text in members:
+            z.writestr(name, text)
+    return raw.getvalue()
+
+
 def test_organize(spark, tmp_path):
     root = tree(tmp_path / "corpus")
-    listed = files.walk(spark, str(root))
-    plan = organize.plan(listed)
-    assert {r["name"] for r in listed.collect()} >= {"_hidden.pdf", "v.mp4"}
+    plan = organize.plan(files.walk(spark, str(root)))
     out = str(tmp_path / "out")
-    assert organize.apply(plan, out, dry_run=True) == 0 and not os.path.exists(out)
-    assert organize.apply(plan, out) == 8
+    assert organize.apply(plan, out, dry_run=True).where("action like '[DRY-RUN] copy %' and target_path is null").count() == 8 and not os.path.exists(out)
+    for _ in range(2):  # a second run, or a task that runs again, changes nothing
+        done = organize.apply(plan, out).collect()
+        assert {r["action"] for r in done} == {"скопирован"} and all(r["error"] is None for r in done)
+        assert sorted(os.listdir(f"{out}/text")) == ["a.txt", "a_1.txt", "c.csv"] or sum(len(n) for _, _, n in os.walk(out)) == 8
     assert os.path.exists(f"{out}/pdf/_hidden.pdf") and os.path.exists(f"{out}/images/i.tif")
-    organize.write_manifest(plan, str(tmp_path / "m.json"))
-    manifest = json.load(open(tmp_path / "m.json"))
-    assert len(manifest["files"]) == 8 and sum(x["count"] for x in manifest["summary"]) == 16
     placed = files.walk(spark, out).withColumn("top_dir", F.element_at(F.split("path", "/"), -2))
     assert {r["accuracy"] for r in organize.verify(placed).collect()} == {100.0}
 
 
+def test_placement_goes_on(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for name in "ab":
+        (source / f"{name}.txt").write_text(name)
+    plan = organize.plan(files.walk(spark, str(source)), action="symlink").persist()
+    assert plan.count() == 2
+    (out / "text").mkdir(parents=True)
+    (out / "text/a.txt").write_text("another file of that name")
+    assert {r["action"] for r in organize.apply(plan, str(out)).collect()} == {"симлинк"}
+    assert sorted(os.listdir(out / "text")) == ["a.txt", "a_1.txt", "b.txt"] and os.readlink(out / "text/b.txt") == "../../in/b.txt"
+    os.unlink(source / "a.txt")
+    done = {os.path.basename(r["original_path"]): r for r in organize.apply(plan.withColumn("action", F.lit("copy")), str(tmp_path / "more")).collect()}
+    assert done["a.txt"]["error"] and done["a.txt"]["action"] is None and done["b.txt"]["error"] is None
+    lines = list(organize.statistics_lines(organize.apply(plan.withColumn("action", F.lit("copy")), str(tmp_path / "more"))))
+    assert any("Ошибка при обработке a.txt" in x for x in lines) and "Обработано файлов: 1" in lines
+
+
+def test_organize_command(spark, tmp_path, capsys):
+    root, out = tree(tmp_path / "corpus"), str(tmp_path / "out")
+    (root / "other/z.zip").write_bytes(archive(("d/x.txt", "one"), ("x.txt", "%PDF-1.7 two")))
+    (root / "other/bad.zip").write_bytes(b"PK\x03\x04 broken")
+    assert cli.main(["organize", str(root), "--mode", "copy"]) == 1 == cli.main(["organize", str(root / "none")])
+    assert cli.main(["organize", str(root), "--mode", "copy", "-o", out, "--dry-run", "-r", str(tmp_path / "dry.json")]) == 0
+    assert not os.path.exists(tmp_path / "dry.json") and "Для применения" in capsys.readouterr().out
+    assert cli.main(["organize", str(root), "--mode", "copy", "-o", out, "--extract-archives", "-r", str(tmp_path / "m.json")]) == 0
+    m = json.load(open(tmp_path / "m.json"))
+    assert len(m["files"]) == 10 == m["summary"]["total"]["files_processed"] and m["mode"] == "copy" and not m["summary"]["total"]["dry_run"]
+    one = m["files"][f"{out}/archives/z.zip"]
+    assert set(one) == {"original_path", "target_path", "size_bytes", "detected_folder", "detected_format", "is_spoofed", "spoof_note", "action"}
+    assert m["x.txt"] == {"original_path": f"{out}/archives/z.zip", "extracted_from": "z.zip", "folder": "text", "format": "TEXT", "spoof": None}
+    assert m["x_1.txt"]["folder"] == "pdf" and open(f"{out}/archives/_extracted_z/x.txt").read() == "one"
+    assert sum(v["count"] for k, v in m["summary"].items() if k != "total") == 10
+    # moving keeps inside the directory, and a second run finds all in place
+    for _ in range(2):
+        assert cli.main(["organize", str(root), "--no-unknown"]) == 0
+    assert sum(len(n) for _, _, n in os.walk(root)) == 10 and os.path.exists(root / "pdf/_hidden.pdf")
+    capsys.readouterr()
+    assert cli.main(["organize", str(root), "--verify"]) == 0
+    assert "pdf/: 1/1 правильных (100.0%)" in capsys.readouterr().out
+
+
+def test_scan_command(spark, tmp_path, capsys):
+    root = tree(tmp_path / "corpus")
+    assert cli.main(["scan", str(root)]) == 0
+    said = capsys.readouterr().out
+    assert "[1/6] data/" in said and "PDN  kind=txt uz=" in said and (root / "scan_all.log").read_text() in said
+    debug = list(csv.DictReader(open(root / "scan_debug.csv", encoding="utf-8")))
+    assert list(debug[0]) == ["name", "top_dir", "kind", "is_pdn", "uz", "doc_score", "elapsed_sec", "ocr_source", "reasons", "matches"]
+    assert {r["kind"] for r in debug} == {"csv", "parquet", "txt", "image"} and [r["ocr_source"] for r in debug if r["kind"] == "image"] == ["failed"]
+    result = [r["name"] for r in csv.DictReader(open(root / "result.csv", encoding="utf-8"))]
+    assert result == sorted(result, key=str.lower) == ["a.txt", "c.csv", "v.mp4"]
+    report_file = next(root.glob("pdn_report_*.md")).read_text()
+    assert "**Дата:** 20" in report_file and "**Всего файлов:** 7" in report_file
+
+
+def test_missing_size(spark):
+    rows = spark.createDataFrame([("p/a.txt", None, ".txt", True, "УЗ-4")], "path string, size long, ext string, is_pdn boolean, uz string")
+    empty = F.struct(*[F.array().cast("array<string>").alias(k) for k in report.lexicon.CATEGORIES])
+    assert "Размер: н/д" in report.file_blocks(rows.withColumn("detail", empty)).first()["block"]
+
+
+def test_ocr():
+    grey = np.zeros((40, 60), np.uint8)
+    grey[10:30, 20:40] = 200
+    pictures = ocr.preparations(grey)
+    assert [p.shape for p in pictures] == [(80, 120)] * 4 and all(p.dtype == np.uint8 for p in pictures)
+    assert set(np.unique(ocr.two_levels(grey))) == {0, 255} and (ocr.two_levels(grey) == 255).sum() == 400
+    assert set(np.unique(ocr.local_threshold(grey))) <= {0, 255} and np.array_equal(ocr.equalized(np.full((3, 3), 7, np.uint8)), np.full((3, 3), 7))
+    flat = np.full((9, 9), 100, np.uint8)
+    assert (ocr.sharpened(flat) == 100).all() and (ocr.upscaled(flat) == 100).all() and ocr.equalized_in_tiles(flat).shape == (9, 9)
+    asked = []
+
+    def engine(picture, language, layout):
+        asked.append((layout, language))
+        if language == "eng+rus":
+            raise RuntimeError("no such language")
+        return " a  b\f" if layout == 6 else ""
+
+    read = ocr.backend(engine, lambda b: (grey, "converted_jpg"))
+    assert read(b"x") == ("\n".join(["a b"] * 4), "converted_jpg") and len(asked) == 4 * (2 + 3 + 3)
+
+    def broken(_):
+        raise OSError
+
+    assert ocr.backend(engine, broken)(b"") == ("", "failed")
+
+
 def test_unzip(spark):
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        z.writestr("a/x.txt", "one")
-        z.writestr("../x.txt", "two")
-    df = spark.createDataFrame([("a.zip", bytearray(raw.getvalue())), ("b.zip", bytearray(b"PK")), ("c.txt", bytearray(b""))], "path string, content binary")
+    raw = archive(("a/x.txt", "one"), ("../x.txt", "two"))
+    df = spark.createDataFrame([("a.zip", bytearray(raw)), ("b.zip", bytearray(b"PK")), ("c.txt", bytearray(b""))], "path string, content binary")
     assert sorted((r["name"], bytes(r["header"])) for r in organize.unzip(df).collect()) == [("x.txt", b"one"), ("x_1.txt", b"two")]
 
 
