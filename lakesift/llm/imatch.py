@@ -6,10 +6,12 @@ the hashes side by side are the fingerprint.  Parts keep from a half to a 256th
 hold but few terms of a text whatever its length: the share of equal hashes tells how much two texts
 have in common.  Only DataFrame functions are used.
 
+A text without any term in the band, one of a very large group of copies for instance, has the hashes of all its terms.
+
 Membership is looked up in a table of one bit for each of SLOTS hash slots, a constant of the plan, so that no term has to be
-shuffled back to its text: a term belongs if its slot is that of a term in the band.  Other terms share such a slot
-with a chance of at most (terms in the lexicon / SLOTS).  The lexicon is bounded: no more terms than
-distinct terms a document on average, divided by LOW.
+shuffled back to its text: a term belongs if its three slots are all set by terms in the band.  Another term is taken for
+one of n in the band with a chance of about ``(3 n / SLOTS) ** 3``: 3 in 10 million for 10,000 terms, 4 in 10,000 for 100,000.  The lexicon
+is bounded: no more terms than distinct terms a document on average, divided by LOW.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from lakesift.llm.common import BLANKS, WORD, stash
 
 #: The band: least and greatest share of all documents that hold a term (two documents at least).
 LOW, HIGH = 0.001, 0.25
-SLOTS = 1 << 21
+SLOTS, SHIFTS = 1 << 22, (0, 21, 42)
 #: A part keeps terms whose own byte of their MD5 is under this (of 256).
 KEEP = (128, 32, 8, 4, 4, 2, 2, 2, 1, 1, 1, 1)
 EMPTY = "-" * 8
+NOTHING = "-".join([EMPTY] * len(KEEP))
 #: Rows that one bucket of neighbouring ids holds, about, and buckets at most.
 ROWS, BUCKETS = 64, 1 << 16
 
@@ -36,10 +39,6 @@ def terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(text, BLANKS)), lambda w: w != "")
 
 
-def slot(digest: Column) -> Column:
-    return F.conv(F.substring(digest, 1, 6), 16, 10).cast("int").bitwiseAND(F.lit(SLOTS - 1))
-
-
 def lexicon(texts: DataFrame) -> DataFrame:
     """``text`` rows -> ``term, df`` of the terms in the band; counts are over all rows."""
     total = texts.count()
@@ -50,14 +49,22 @@ def lexicon(texts: DataFrame) -> DataFrame:
 def membership(texts: DataFrame) -> Column:
     """Bits of the slots, four to a byte (64 + bits, so that it is a character): set where a term in the band has the slot."""
     found = bytearray(b"@" * (SLOTS >> 2))
-    for (at,) in lexicon(texts).select(slot(F.md5("term"))).distinct().toLocalIterator():
-        found[at >> 2] |= 1 << (at & 3)
+    for (h,) in lexicon(texts).select(F.xxhash64("term")).toLocalIterator():
+        for shift in SHIFTS:
+            at = (h >> shift) & (SLOTS - 1)
+            found[at >> 2] |= 1 << (at & 3)
     return F.lit(bytes(found))
 
 
-def is_member(bits: Column, at: Column) -> Column:
-    four = F.ascii(F.substring(bits, F.shiftright(at, 2) + 1, F.lit(1)).cast("string"))
-    return F.call_function("shiftright", four, at.bitwiseAND(F.lit(3))).bitwiseAND(F.lit(1)) == 1
+def is_member(bits: Column, h: Column) -> Column:
+    """Whether the slots of a term's hash are set; the later ones are looked at only where the first is."""
+
+    def is_set(shift: int) -> Column:
+        at = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+        four = F.ascii(F.substring(bits, F.shiftright(at, 2) + 1, F.lit(1)).cast("string"))
+        return F.call_function("shiftright", four, at.bitwiseAND(F.lit(3))).bitwiseAND(F.lit(1)) == 1
+
+    return is_set(SHIFTS[0]) & is_set(SHIFTS[1]) & is_set(SHIFTS[2])
 
 
 def _under(at: int, most: str):
@@ -67,23 +74,23 @@ def _under(at: int, most: str):
 def fingerprint(all_terms: Column, bits: Column) -> Column:
     """Hashes of the parts, joined by '-'; EMPTY for a part that keeps none of the text's terms (given as a column, so that they are split once).
 
-    A text none of whose terms are in the lexicon has one hash of its terms in every part.
+    A text none of whose terms are in the lexicon has parts of all its terms, and one whose few terms no part keeps
+    has their hash in every part.
     """
-    digested = F.transform(all_terms, lambda t: F.struct(t.alias("t"), F.md5(t).alias("m")))
-    kept = F.array_sort(F.filter(digested, lambda x: is_member(bits, slot(x["m"]))))
-    lone = F.substring(F.md5(F.concat_ws(" ", F.array_min(all_terms), F.array_max(all_terms), F.size(all_terms).cast("string"))), 1, 8)
+    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  as the element of an array it is worked out once
+    digested = lambda t: F.array_sort(F.transform(t, lambda x: F.struct(x.alias("t"), F.md5(x).alias("m"))))
 
-    def parts(k: Column) -> list[Column]:
+    def parts(k: Column) -> Column:
         out = []
         for i, most in enumerate(KEEP):
             own = F.filter(k, _under(7 + 2 * i, f"{most:02x}"))
             hashed = F.substring(F.md5(F.array_join(F.transform(own, lambda x: x["t"]), " ")), 1, 8)
             out.append(F.when(F.size(own) > 0, hashed).otherwise(F.lit(EMPTY)))
-        return out
+        whole = F.substring(F.md5(F.array_join(F.transform(k, lambda x: x["t"]), " ")), 1, 8)
+        return once(F.concat_ws("-", *out), lambda p: F.when((p == NOTHING) & (F.size(k) > 0), F.concat_ws("-", *[whole] * len(KEEP))).otherwise(p))
 
-    # the sorted terms are worked out once, as the element of an array
-    made = F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, F.concat_ws("-", *parts(k))))[0]
-    return F.when(F.size(all_terms) == 0, F.lit("-".join([EMPTY] * len(KEEP)))).otherwise(F.coalesce(made, F.concat_ws("-", *[lone] * len(KEEP))))
+    members = F.filter(all_terms, lambda t: is_member(bits, F.xxhash64(t)))
+    return once(members, lambda own: once(digested(F.when(F.size(own) > 0, own).otherwise(all_terms)), parts))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -167,11 +174,9 @@ def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFr
 def fingerprints_sql() -> str:
     """The same as DuckDB SQL over ``documents`` (ids without nulls or ties)."""
     words = lambda t: f"list_distinct(regexp_extract_all({t}, '{WORD}'))"
-    slot_of = lambda m: f"(('0x' || substr({m}, 1, 6))::bigint & {SLOTS - 1})"
     part = lambda i: f"case when len(list_filter(kept, lambda x: substr(md5(x), {7 + 2 * i}, 2) < '{KEEP[i]:02x}')) > 0 then substr(md5(array_to_string(list_filter(kept, lambda x: substr(md5(x), {7 + 2 * i}, 2) < '{KEEP[i]:02x}'), ' ')), 1, 8) else '{EMPTY}' end"
-    lone = "substr(md5(list_min(all_terms) || ' ' || list_max(all_terms) || ' ' || len(all_terms)), 1, 8)"
     made = "concat_ws('-', " + ", ".join(part(i) for i in range(len(KEEP))) + ")"
-    empty = "-".join([EMPTY] * len(KEEP))
+    whole = "concat_ws('-', " + ", ".join(["substr(md5(array_to_string(kept, ' ')), 1, 8)"] * len(KEEP)) + ")"
     cut = lambda f, k: f"substr({f}, {9 * k + 1}, 8)"
     some = lambda a, b: " + ".join(f"({cut(a, k)} <> '{EMPTY}' or {cut(b, k)} <> '{EMPTY}')::int" for k in range(len(KEEP)))
     same = lambda a, b: " + ".join(f"({cut(a, k)} <> '{EMPTY}' and {cut(a, k)} = {cut(b, k)})::int" for k in range(len(KEEP)))
@@ -186,19 +191,21 @@ n as (
 e as (select *, substr(text, 1, n - n // 2) || substr(next_text, 1, n // 2) as edited from n),
 counts as (select term, count(*) as df from (select unnest({words('text')}) as term from d) group by term),
 lexicon as (
-    select list(distinct {slot_of('md5(term)')}) as slots from counts
+    select term from counts
     where df >= greatest(2, ceil({LOW} * (select count(*) from d))) and df <= greatest(2.0, {HIGH} * (select count(*) from d))
 ),
 texts as (select doc_id, 0 as side, {words('text')} as all_terms from e union all select doc_id, 1, {words('edited')} from e),
 held as (
     select t.doc_id, t.side, list_sort(list(t.term)) as kept
-    from (select doc_id, side, unnest(all_terms) as term from texts) t
-    where {slot_of('md5(t.term)')} in (select unnest(slots) from lexicon) group by all
+    from (select doc_id, side, unnest(all_terms) as term from texts) t join lexicon l on l.term = t.term group by all
 ),
-prints as (
-    select t.doc_id, t.side,
-           case when len(all_terms) = 0 then '{empty}' when kept is null then concat_ws('-', {', '.join([lone] * len(KEEP))}) else {made} end as print
+chosen as (
+    select t.doc_id, t.side, coalesce(kept, list_sort(all_terms)) as kept
     from texts t left join held h on h.doc_id = t.doc_id and h.side = t.side
+),
+parts as (select *, {made} as parted from chosen),
+prints as (
+    select doc_id, side, case when parted = '{NOTHING}' and len(kept) > 0 then {whole} else parted end as print from parts
 )
 select e.doc_id, cast(e.n as bigint) as n_chars, sha256(e.edited) as edited_sha256, p.print as fingerprint, q.print as edited_fingerprint,
        {like('p.print', 'q.print')} as near_edited, {like('p.print', 'r.print')} as near_next
