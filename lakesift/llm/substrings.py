@@ -230,10 +230,11 @@ def dedup(docs: DataFrame, *, width=20, id_col="doc_id", text_col="text") -> Dat
     told = base.mapInArrow(_minimisers(width), "id long, th long, minis array<long>")
     told = stash(told.join(copies, is_row(told, copies), "left_anti"), "super-minimisers")
     shared = told.select(F.explode("minis").alias("mini")).groupBy("mini").agg(F.count("*").alias("times")).filter("times > 1").select("mini")
+    shared = stash(shared, "super-shared")  # so that the join's sides are plain shuffles, which adaptive execution splits where a minimiser is hot
     wanted = told.select("id", "th", F.explode("minis").alias("mini")).join(shared, "mini").groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_set("mini").alias("wanted"))
     texts = base.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("id", "th", "text", "wanted")
     cut = stash(texts.mapInArrow(_cut(width), "id long, th long, start long, n long, mini long, h1 long, h2 long, packed binary"), "super-cut")
-    discard(told)
+    discard(told, shared)
 
     # each different string at its first place, in its minimiser's bucket
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "start")
