@@ -40,22 +40,36 @@ def size(c: Column) -> Column:
     return F.size(c).cast("long")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: as the element of an array, since lambdas repeat what they are given."""
+    return F.transform(F.array(value), body)[0]
+
+
+def before_each(steps: Column, field: str) -> Column:
+    """Of each element the sum of ``field`` over those before it, by blocks of 64: no list is copied for every element."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    block = lambda i: F.shiftright(i, 6)
+    values = F.transform(steps, lambda x: x[field])
+
+    def sums(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), block(F.size(v) - 1)), lambda b: total(F.slice(v, b * 64 + 1, 64)))
+        upto = lambda own: F.transform(own, lambda _, b: total(F.slice(own, F.lit(1), b)))
+        each = lambda ahead: F.transform(v, lambda _, i: ahead[block(i)] + total(F.slice(v, block(i) * 64 + 1, i.bitwiseAND(F.lit(63)))))
+        return once(once(blocks, upto), each)
+
+    return once(values, sums)
+
+
 def spans(c: Column, rx: str) -> Column:
-    """Every match with its 0-based offset: the lengths between matches, summed along the row.
+    """Every match with its 0-based offset: the lengths of matches and of what is between them, summed along the row.
 
     Rows without a match skip the split.
     """
     found = F.regexp_extract_all(c, F.lit(rx), F.lit(0))
     gaps = F.slice(F.split(c, rx, -1), F.lit(1), F.size(found))
-    steps = F.zip_with(found, gaps, lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
-    start = F.struct(F.lit(0).alias("upto"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        pos = acc["upto"] + x["gap"]
-        here = F.array(F.struct(x["m"].alias("m"), pos.alias("pos")))
-        return F.struct((pos + F.length(x["m"])).alias("upto"), F.concat(acc["out"], here).alias("out"))
-
-    some = F.aggregate(steps, start, step, lambda acc: acc["out"])
+    steps = F.zip_with(found, gaps, lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap"), (F.length(gap) + F.length(m)).alias("all")))
+    place = lambda s: F.zip_with(s, before_each(s, "all"), lambda x, upto: F.struct(x["m"].alias("m"), (upto + x["gap"]).alias("pos")))
+    some = once(steps, place)
     return F.when(F.coalesce(c.rlike(rx), F.lit(False)), some).otherwise(F.array().cast(SPAN))
 
 
@@ -104,10 +118,13 @@ def strip(c: Column) -> Column:
 
 def mask(c: Column, keep: int) -> Column:
     """Stars but for ``keep`` characters at both ends; all stars where the value is short."""
-    s = strip(c)
-    n = F.length(s)
-    long = F.concat(F.substr(s, F.lit(1), F.lit(keep)), F.repeat(F.lit("*"), n - 2 * keep), F.substr(s, n - keep + 1, F.lit(keep)))
-    return F.when(n <= 2 * keep, F.repeat(F.lit("*"), n)).otherwise(long)
+
+    def stars(s: Column) -> Column:
+        n = F.length(s)
+        long = F.concat(F.substr(s, F.lit(1), F.lit(keep)), F.repeat(F.lit("*"), n - 2 * keep), F.substr(s, n - keep + 1, F.lit(keep)))
+        return F.when(n <= 2 * keep, F.repeat(F.lit("*"), n)).otherwise(long)
+
+    return once(strip(c), stars)
 
 
 def mask_around(c: Column, span: Column, width: int = 10) -> Column:

@@ -126,6 +126,16 @@ def findings(c: Column) -> dict[str, Column]:
     }
 
 
+def worked_out(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once for a row, whatever is filtered or selected later.
+
+    They are elements of an exploded array of one: filters on them are not pushed below, so their expressions
+    are not repeated for every use.
+    """
+    one = df.withColumn("_worked", F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+    return one.withColumns({k: F.col("_worked")[k] for k in columns}).drop("_worked")
+
+
 def detect(texts: DataFrame, name_files: Iterable[str] = ("customers.csv", "logistics.csv")) -> DataFrame:
     """Add the group vector, score, decision, level and raw matches to rows of ``text``, ``top_dir`` and ``name``.
 
@@ -134,17 +144,14 @@ def detect(texts: DataFrame, name_files: Iterable[str] = ("customers.csv", "logi
     """
     c = F.col("text")
     value, why = score(c)
-    df = texts.withColumn("text", M.normalize(c))
-    df = df.withColumns(
-        groups(c)
-        | {
-            "doc_score": value,
-            "doc_reasons": why,
-            "fio_clean": M.size(person_names(c)),
-            "date_count": M.count(c, patterns.DATE),
-            "has_contact": c.rlike(patterns.EMAIL) | c.rlike(patterns.PHONE),
-        }
-    )
+    df = worked_out(texts, {"text": M.normalize(c)})
+    counted = groups(c) | {
+        "doc_score": value,
+        "fio_clean": M.size(person_names(c)),
+        "date_count": M.count(c, patterns.DATE),
+        "has_contact": c.rlike(patterns.EMAIL) | c.rlike(patterns.PHONE),
+    }
+    df = worked_out(df, counted).withColumn("doc_reasons", why)
     strong = F.col("has_contact") | (F.greatest("g_gov", "g_pay", "g_bio", "g_special") > 0)
     names, dates, doc = F.col("fio_clean"), F.col("date_count"), F.col("doc_score")
     note = lambda text, n: F.concat(F.lit(text), n.cast("string"))
@@ -177,7 +184,7 @@ def detect(texts: DataFrame, name_files: Iterable[str] = ("customers.csv", "logi
 def with_findings(decisions: DataFrame) -> DataFrame:
     """Add ``detail``, the masked findings of the rows with personal data (null for the others)."""
     detail = F.struct(*[v.alias(k) for k, v in findings(F.col("text")).items()])
-    return decisions.withColumn("detail", F.when(F.col("is_pdn"), detail))
+    return worked_out(decisions, {"detail": F.when(F.col("is_pdn"), detail)})
 
 
 def long_findings(decisions: DataFrame, key: str = "path") -> DataFrame:

@@ -43,15 +43,15 @@ def level_counts(decisions: DataFrame) -> DataFrame:
     """Documents with personal data at each protection level, levels without any too."""
     spark = decisions.sparkSession
     levels = spark.createDataFrame([(k, v[0]) for k, v in lexicon.LEVELS.items()], "uz string, description string")
-    counts = decisions.where("is_pdn").groupBy("uz").agg(F.count("*").alias("files"))
+    counts = decisions.groupBy("uz").agg(F.count_if("is_pdn").alias("files"))
     return F.broadcast(levels).join(counts, "uz", "left").select("uz", F.coalesce("files", F.lit(0)).alias("files"), "description")
 
 
 def category_totals(decisions: DataFrame) -> DataFrame:
-    """Findings of each category over the rows with personal data."""
-    each = [F.struct(F.lit(k).alias("category"), F.size(F.col("detail")[k]).cast("long").alias("n")) for k in lexicon.CATEGORIES]
-    rows = decisions.where("is_pdn").select(F.explode(F.array(*each)).alias("x"))
-    return rows.groupBy("x.category").agg(F.sum("x.n").alias("findings")).where("findings > 0")
+    """Findings of each category over the rows with personal data (``detail`` is null in the others)."""
+    sums = decisions.agg(*[F.sum(F.size(F.col("detail")[k]).cast("long")).alias(k) for k in lexicon.CATEGORIES])
+    each = [F.struct(F.lit(k).alias("category"), F.col(k).alias("findings")) for k in lexicon.CATEGORIES]
+    return sums.select(F.explode(F.array(*each)).alias("x")).select("x.category", "x.findings").where("findings > 0")
 
 
 def _or(df: DataFrame, name: str, otherwise: str):
