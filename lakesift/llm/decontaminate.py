@@ -34,6 +34,10 @@ def _at_each(w: Column, made) -> Column:
     return F.when(many >= WIDTH, each).when(many > 0, F.array(made(w))).otherwise(F.filter(F.array(made(w)), lambda _: F.lit(False)))
 
 
+def _hash_of(n: int):
+    return lambda i: F.xxhash64(F.slice("w", i, n))
+
+
 def shingles(w: Column) -> Column:
     return _at_each(w, F.xxhash64)
 
@@ -141,7 +145,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, least=0.8, id_col="doc_id"
     found = found.select("id", "item", (-F.col("b.back")).alias("window_start"), F.col("b.window_words").alias("window_words"), F.col("b.distance").alias("distance"), F.col("b.similarity").alias("similarity"), "th")
     for n in short:
         # in texts of five words or more; shorter ones are compared above
-        each = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.xxhash64(F.slice("w", i, n)))
+        each = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), _hash_of(n))
         placed = base.select("id", "th", words(F.col("text")).alias("w")).filter(F.size("w") >= WIDTH).select("id", "th", F.posexplode(each).alias("pos", "h"))
         whole = items.filter(F.col("size") == n).select("item", F.col("h")[0].alias("h"))
         equal = placed.join(whole, "h").groupBy("id", "th", "item").agg(F.min("pos").alias("window_start"))

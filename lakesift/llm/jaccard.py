@@ -30,6 +30,8 @@ from lakesift.llm.words import Texts, mix, pieces
 SPREAD, LEAST_BITS, MOST_BITS = 8, 2048, 1 << 17
 SENT_SPREAD, SENT_LEAST, SENT_MOST = 2, 256, 1 << 16
 LEAF, FAN = 4, 4
+#: Texts to be read again, at most, whose ids are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 #: Sets of a subtree whose bitmaps one task holds; in larger subtrees all sets travel, in parts.
 TRAVERSED = 2048
 #: Counters of token occurrences, whatever the corpus; so many of them make a row.
@@ -79,18 +81,18 @@ def _profile(width: int, lower: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, np.uint32)
-        names = ["id", "n", "s1", "s2", "block", "counts"]
+        names = ["id", "th", "n", "s1", "s2", "block", "counts"]
         for batch in pieces(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), width, lower)
             for s in sets:
                 counts[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] += np.uint32(1)
             s1, s2 = identities(sets)
             none = [pa.nulls(len(sets), t) for t in (pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), *none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), *none], names=names)
         held = counts.reshape(-1, 1 << BLOCK_BITS)
         some = np.flatnonzero(held.any(1))
         rows = pa.array([np.minimum(held[i], 65535).astype(np.uint16).tobytes() for i in some], pa.binary())
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), pa.int64()) for _ in range(4)], pa.array(some, pa.int32()), rows], names=names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), pa.int64()) for _ in range(5)], pa.array(some, pa.int32()), rows], names=names)
 
     return run
 
@@ -169,7 +171,8 @@ def _payloads(width: int, lower: bool):
             sets = shingle_sets(batch.column("text").to_pylist(), width, lower)
             s1, s2 = identities(sets)
             good = [len(s) == n and a == x and b == y for s, n, a, x, b, y in zip(sets, batch.column("n").to_pylist(), s1.tolist(), batch.column("s1").to_pylist(), s2.tolist(), batch.column("s2").to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "payload"])
+            told = [batch.column(c) for c in ("s1", "s2", "n")]
+            out = pa.RecordBatch.from_arrays([*told, pa.array([s.tobytes() for s in sets], pa.binary())], names=["s1", "s2", "n", "payload"])
             yield out.filter(pa.array(good, pa.bool_()))
 
     return run
@@ -319,21 +322,29 @@ def join(docs: DataFrame, *, width=3, num=90, den=100, lower=True, id_col="doc_i
     component that has another id.  An empty table gives no rows; other columns are ignored.
     Equality of sets is by two 64-bit sums of hashes, overlap by 64-bit hashes of shingles.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    told = stash(base.mapInArrow(_profile(width, lower), "id long, n long, s1 long, s2 long, block int, counts binary"), "jaccard-profiles")
-    seen = told.filter("block is null").select("id", "n", "s1", "s2")
+    found = _joined(docs, width, num, den, lower, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _joined(docs: DataFrame, width: int, num: int, den: int, lower: bool, id_col: str, text_col: str) -> DataFrame:
+    """``id, th, n, component`` of every row, ``th`` being a hash of its text."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    told = stash(base.mapInArrow(_profile(width, lower), "id long, th long, n long, s1 long, s2 long, block int, counts binary"), "jaccard-profiles")
+    seen = told.filter("block is null").select("id", "th", "n", "s1", "s2")
     weights = token_weights(told.filter("block is not null").select("block", "counts"))
-    keyed = stash(base.mapInArrow(_signatures(width, lower, num, den, weights), "node long, keys array<long>, n long, bits binary"), "jaccard-signatures")
+    keyed = stash(base.select("text").mapInArrow(_signatures(width, lower, num, den, weights), "node long, keys array<long>, n long, bits binary"), "jaccard-signatures")
     shared = shared_members(keyed.select(F.explode("keys").alias("key"), "node"))
     members = traversed(shared, keyed, num, den)
     discard(keyed, shared)
 
     node = F.concat_ws("-", F.hex("s1"), F.hex("s2"), F.col("n")).alias("node")
-    classes = stash(seen.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("least")), "jaccard-classes")
-    active = stash(classes.join(members.select(F.col("node").alias("s1")).distinct(), "s1").select(F.col("least").alias("wid"), "s1", "s2", "n", node), "jaccard-active")
-    texts = base.join(active, F.col("id").eqNullSafe(F.col("wid"))).select("text", "s1", "s2", "n", "node")
-    payloads = stash(texts.mapInArrow(_payloads(width, lower), "node string, payload binary").groupBy("node").agg(F.first("payload").alias("payload")), "jaccard-sets")
-    named = stash(members.withColumnRenamed("node", "s1").join(active.select("s1", "node"), "s1").select("key", "m", "node"), "jaccard-members")
+    classes = stash(seen.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "th")).alias("some"), F.min("id").alias("least")), "jaccard-classes")
+    active = stash(classes.join(members.select(F.col("node").alias("s1")).distinct(), "s1").select(F.col("some.id").alias("wid"), F.col("some.th").alias("wth"), "s1", "s2", "n"), "jaccard-active")
+    wanted = F.broadcast(active) if active.count() <= BROADCAST_ROWS else active
+    texts = base.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("text", "s1", "s2", "n")
+    payloads = texts.mapInArrow(_payloads(width, lower), "s1 long, s2 long, n long, payload binary").groupBy("s1", "s2", "n").agg(F.first("payload").alias("payload"))
+    payloads = stash(payloads.select(node, "payload"), "jaccard-sets")
+    named = stash(members.withColumnRenamed("node", "s1").join(active.select("s1", node), "s1").select("key", "m", "node"), "jaccard-members")
     discard(members, active)
     links = verified_links(named, payloads, _link(num, den))
     discard(named, payloads)
@@ -344,9 +355,9 @@ def join(docs: DataFrame, *, width=3, num=90, den=100, lower=True, id_col="doc_i
     labels = classes.select("s1", "s2", "n", "least", node).join(moved, "node", "left").select("s1", "s2", "n", F.coalesce("component", "least").alias("component"))
     labels = stash(labels, "jaccard-labels")
     discard(links, found, least, moved, classes)
-    whole = seen.filter("n > 0").join(labels, ["s1", "s2", "n"]).select("id", "n", "component")
-    alone = seen.filter("n = 0").select("id", "n", F.col("id").alias("component"))
-    return whole.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    whole = seen.filter("n > 0").join(labels, ["s1", "s2", "n"]).select("id", "th", "n", "component")
+    alone = seen.filter("n = 0").select("id", "th", "n", F.col("id").alias("component"))
+    return whole.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, *, width=5, num=80, den=100, lower=True, id_col="doc_id", text_col="text") -> DataFrame:
@@ -356,11 +367,11 @@ def keep_one(docs: DataFrame, *, width=5, num=80, den=100, lower=True, id_col="d
     that has an id.  Of rows with one id only the one with the least hash of its text stays (of equal rows any one).
     An empty table stays empty; columns may have any names.
     """
-    winner, twice, gid, th, row = unused(docs, "winner", "twice", "gid", "th", "row")
-    found = stash(join(docs, width=width, num=num, den=den, lower=lower, id_col=id_col, text_col=text_col), "jaccard-found")
-    winners = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(winner)).distinct()
-    kept = docs.join(winners, F.col(id_col).eqNullSafe(F.col(winner)), "left_semi")
-    again = stash(found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(twice)).agg(F.count("*").alias("times")).filter("times > 1").select(twice), "jaccard-twice")
+    winner, win_th, twice, gid, th, row = unused(docs, "winner", "win_th", "twice", "gid", "th", "row")
+    found = stash(_joined(docs, width, num, den, lower, id_col, text_col), "jaccard-found")
+    winners = found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(winner), F.col("th").alias(win_th)).distinct()
+    kept = docs.join(winners, F.col(id_col).eqNullSafe(F.col(winner)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(win_th)), "left_semi")
+    again = stash(found.filter("id is not null").groupBy(F.col("id").alias(twice)).agg(F.count("*").alias("times")).filter("times > 1").select(twice), "jaccard-twice")
     if again.isEmpty():
         return kept
     hashed = F.struct(F.xxhash64(text_col).alias(th), *[F.col(c) for c in docs.columns])

@@ -171,16 +171,23 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     Lines are equal or within their thresholds' edits, directly or through others, when in one class;
     the class is named by its first line (smallest id, null last, then line number), and every other line of it
     is ``repeated``.  ``class_docs`` counts distinct ids.  Null, empty and blank texts give no rows, nor does an empty table.
-    Lines of rows with one id are told apart by their number only, so repeated rows repeat their lines' rows.
+    Of rows with one id (or without any) lines come in the order of a hash of their texts, so repeated rows repeat their lines' rows.
     Other columns are ignored.  A line's identity is its 128-bit hash; edit distance is taken on whole lines.
     """
+    found = _classified(docs, id_col, text_col)
+    names = {"id": id_col, "pos": "line_no", "n": "n_chars"}
+    return found.drop("th", "first_th").withColumnsRenamed(names)
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, th, pos, n, first_id, first_line, class_lines, class_docs, repeated, first_th`` of every line, ``th`` being a hash of its text."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     seen = stash(base.mapInArrow(_occurrences, "id long, th long, pos long, h1 long, h2 long, n long, keys array<long>"), "lines")
     shared = shared_members(seen.select(F.explode("keys").alias("key"), F.col("h1").alias("node")))
     seen = seen.drop("keys")
 
     # one occurrence of each candidate line brings its text
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "pos")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "pos")
     node = F.concat_ws("-", F.hex("h1"), F.hex("h2"))
     active = seen.join(shared.select(F.col("node").alias("h1")).distinct(), "h1").groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("at"))
     active = stash(active.select("h1", "h2", "at", node.alias("node")), "lines-active")
@@ -194,28 +201,30 @@ def classes(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     found = components(links)
     roots = active.select(F.col("node").alias("root"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
     moved = stash(active.join(found, "node").join(roots, "root").select("h1", "h2", "c1", "c2"), "lines-moved")
-    own = seen.join(moved, ["h1", "h2"], "left").select("id", "pos", "n", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2"))
+    own = seen.join(moved, ["h1", "h2"], "left").select("id", "th", "pos", "n", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2"))
     own = stash(own, "lines-classes")
     discard(links, found, active, moved)
-    per_doc = own.groupBy("c1", "c2", "id").agg(F.min("pos").alias("pos"), F.count("*").alias("lines"))
-    whole = per_doc.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.sum("lines").alias("class_lines"), F.count("*").alias("class_docs")).filter("class_lines > 1")
+    per_doc = own.groupBy("c1", "c2", "id").agg(F.min(F.struct("th", "pos")).alias("at"), F.count("*").alias("lines"))
+    first = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("at.th").alias("th"), F.col("at.pos").alias("pos"))
+    whole = per_doc.groupBy("c1", "c2").agg(F.min(first).alias("first"), F.sum("lines").alias("class_lines"), F.count("*").alias("class_docs")).filter("class_lines > 1")
     joined = own.join(stash(whole, "lines-firsts"), ["c1", "c2"], "left")
     first_id = F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id"))
-    first_line = F.coalesce("first.pos", "pos")
+    first_line, first_th = F.coalesce("first.pos", "pos"), F.coalesce("first.th", "th")
     return joined.select(
-        F.col("id").alias(id_col), F.col("pos").alias("line_no"), F.col("n").alias("n_chars"), first_id.alias("first_id"), first_line.alias("first_line"),
+        "id", "th", "pos", "n", first_id.alias("first_id"), first_line.alias("first_line"),
         F.coalesce("class_lines", F.lit(1)).alias("class_lines"), F.coalesce("class_docs", F.lit(1)).alias("class_docs"),
-        (~(first_id.eqNullSafe(F.col("id")) & (first_line == F.col("pos")))).alias("repeated"),
+        (~(first_id.eqNullSafe(F.col("id")) & (first_th == F.col("th")) & (first_line == F.col("pos")))).alias("repeated"), first_th.alias("first_th"),
     )
 
 
 def whole_copies(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """``copy_id, copy_of`` of the ids whose text equals that of a smaller one (null last), by SHA-256."""
-    own = docs.select(F.col(id_col).cast("long").alias("copy_id"), F.sha2(F.col(text_col).cast("string"), 256).alias("digest")).filter("digest is not null")
+    """``copy_id, copy_th, copy_of`` of the rows whose text equals that of a smaller id (null last), by SHA-256; ``copy_th`` is a hash of the text."""
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("copy_id"), F.xxhash64(text).alias("copy_th"), F.sha2(text, 256).alias("digest")).filter("digest is not null")
     place = F.struct(F.col("copy_id").isNull().alias("last"), F.col("copy_id").alias("id"))
     firsts = own.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
     copies = own.join(stash(firsts.select("digest", "first"), "lines-copied"), "digest").filter(~F.col("first.id").eqNullSafe(F.col("copy_id")))
-    return copies.groupBy("copy_id").agg(F.min("first.id").alias("copy_of"))
+    return copies.groupBy("copy_id", "copy_th").agg(F.min("first.id").alias("copy_of"))
 
 
 def drop_lines(docs: DataFrame, *, min_docs=1, min_chars=20, id_col="doc_id", text_col="text", chars_col="n_chars") -> DataFrame:
@@ -225,20 +234,20 @@ def drop_lines(docs: DataFrame, *, min_docs=1, min_chars=20, id_col="doc_id", te
     and is not the first of its class, however much of its document goes with it.  A text equal to that of a smaller id
     loses the lines that the smaller one loses, so that the two stay equal, for document-level deduplication to see.
     A text that holds nothing else ends empty.  Null and empty texts stay as they are, an empty table stays empty,
-    and rows with one id (or without any) lose lines by number together; columns may have any names.
+    of rows with one id (or without any) each loses its own lines, and repeated rows lose the same; columns may have any names.
     """
-    gone_id, gone_lines = unused(docs, "gone_id", "gone")
-    lines = classes(docs, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "line_id")
-    lines = lines.filter((F.col("class_lines") > 1) & (F.col("class_docs") >= min_docs) & (F.col("n_chars") >= min_chars))
+    gone_id, gone_th, gone_lines = unused(docs, "gone_id", "gone_th", "gone")
+    lines = _classified(docs, id_col, text_col).filter((F.col("class_lines") > 1) & (F.col("class_docs") >= min_docs) & (F.col("n") >= min_chars))
     copies = stash(whole_copies(docs, id_col=id_col, text_col=text_col).withColumn("copy", F.lit(True)), "lines-copies")
-    lines = lines.join(copies, F.col("line_id").eqNullSafe(F.col("copy_id")), "left")
-    stands_for = F.when(F.col("copy"), F.col("copy_of")).otherwise(F.col("line_id"))
-    gone = lines.filter(~(F.col("first_id").eqNullSafe(stands_for) & (F.col("first_line") == F.col("line_no"))))
-    gone = stash(gone.groupBy(F.col("line_id").alias(gone_id)).agg(F.collect_set(F.col("line_no").cast("int")).alias(gone_lines)), "lines-gone")
+    lines = lines.join(copies, F.col("id").eqNullSafe(F.col("copy_id")) & (F.col("th") == F.col("copy_th")), "left")
+    stands_for = F.when(F.col("copy"), F.col("copy_of")).otherwise(F.col("id"))
+    gone = lines.filter(~(F.col("first_id").eqNullSafe(stands_for) & (F.col("first_th") == F.col("th")) & (F.col("first_line") == F.col("pos"))))
+    gone = stash(gone.groupBy(F.col("id").alias(gone_id), F.col("th").alias(gone_th)).agg(F.collect_set(F.col("pos").cast("int")).alias(gone_lines)), "lines-gone")
     discard(copies)
     text, some = F.col(text_col), F.col(gone_lines).isNotNull()
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(gone_lines), i)), "\n")
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)), "left").withColumn(text_col, F.when(some, kept).otherwise(text))
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.xxhash64(text.cast("string")) == F.col(gone_th))
+    joined = docs.join(gone, same, "left").withColumn(text_col, F.when(some, kept).otherwise(text))
     if chars_col in docs.columns:
         joined = joined.withColumn(chars_col, F.when(some, F.char_length(text).cast("long")).otherwise(F.col(chars_col)))
     return joined.select(*docs.columns)

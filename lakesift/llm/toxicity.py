@@ -23,7 +23,7 @@ from lakesift.llm.quality import bucket, labelled
 from lakesift.llm.words import Texts, mix, pieces
 
 #: Labelled rows to learn from, at most: those whose ids hash lowest.
-SAMPLE = 10_000
+SAMPLE = 6_000
 CHAIN = 64
 SLOTS = 1 << 18
 #: How many toxic documents must hold a toxic word or beginning.
@@ -37,8 +37,8 @@ SKETCH, BAND, ALIKE = 64, 4, 0.7
 #: Chains that one slice of a training step holds.
 SLICE = 4096
 STEPS, RATE, L2 = 60, 0.2, 1e-5
-#: Marginals below this do not add up over a document.
-FLOOR = 0.1
+#: Marginals below this do not add up over a document: no number of unlikely tokens makes a long text toxic.
+FLOOR = 0.5
 MARKS = np.zeros(256, bool)
 MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
