@@ -24,6 +24,8 @@ from lakesift.llm.words import Texts, mix, pieces
 
 #: Labelled rows to learn from, at most: those whose ids hash lowest.
 SAMPLE = 6_000
+#: Files that the sample is kept in, at most.
+PARTS = 8
 CHAIN = 64
 SLOTS = 1 << 18
 #: How many toxic documents must hold a toxic word or beginning.
@@ -243,7 +245,7 @@ def toxic_markers(rows: DataFrame) -> np.ndarray:
 
     Copies share odd words with the toxic words that they hold, so of near copies one counts.
     """
-    texts = stash(rows.groupBy("text").agg(F.max("label").alias("label")).select(F.xxhash64("text").alias("th"), "text", "label"), "toxic-texts")
+    texts = stash(rows.groupBy("text").agg(F.max("label").alias("label")).select(F.xxhash64("text").alias("th"), "text", "label").coalesce(PARTS), "toxic-texts")
     got = texts.select("th", "text").mapInArrow(_sketches, "th long, sketch binary").toArrow()
     sketches = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)
     gone = near_copies(np.array(got.column("th").to_pylist(), np.int64), sketches)
@@ -283,16 +285,18 @@ def _training_tokens(markers: np.ndarray):
 
 def train(docs: DataFrame, labels: DataFrame, *, folds=5, held=0, label_col="toxic", most=SAMPLE, id_col="doc_id", text_col="text") -> Field:
     """The field learnt from up to ``most`` labelled rows whose crc32 bucket is not ``held``, all of their tokens."""
-    rows = stash(labelled(docs, labels, label_col, bucket(id_col, folds) != held, most, id_col=id_col, text_col=text_col), "toxic-sample")
+    rows = stash(labelled(docs, labels, label_col, bucket(id_col, folds) != held, most, id_col=id_col, text_col=text_col).coalesce(PARTS), "toxic-sample")
     markers = toxic_markers(rows)
     got: list[tuple[bytes, bytes]] = []
     slots: dict[int, bytes] = {}
-    for r in rows.mapInArrow(_training_tokens(markers), "types binary, tags binary, features binary").toLocalIterator():
-        if r["features"] is None:
-            got.append((bytes(r["types"]), bytes(r["tags"])))
+    told = rows.mapInArrow(_training_tokens(markers), "types binary, tags binary, features binary").toArrow()
+    for types, tags, features in zip(*(told.column(c).to_pylist() for c in ("types", "tags", "features")), strict=True):
+        if features is None:
+            got.append((types, tags))
         else:
-            own = np.frombuffer(r["features"], np.int32).reshape(len(r["types"]) // 8, -1)
-            slots.update(zip(np.frombuffer(r["types"], np.uint64).tolist(), map(bytes, own), strict=True))
+            own = np.frombuffer(features, np.int32).reshape(len(types) // 8, -1)
+            slots.update(zip(np.frombuffer(types, np.uint64).tolist(), map(bytes, own), strict=True))
+    del told
     discard(rows)
     if not len(markers) or not got:
         return Field(np.zeros(SLOTS), np.array([[0.0, -30.0], [0.0, -30.0]]), np.array([0.0, -30.0]))
