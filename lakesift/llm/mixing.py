@@ -25,7 +25,7 @@ TOLERANCE, ENOUGH = 1e-9, 1e-6
 #: Starting points tried for each source's systematic rounding; the one that comes nearest is used.
 OFFSETS = 32
 #: Exchanges of copies that a source gets, and the relative miss that needs none; pairs are tried for sources of up to so many sizes.
-EXCHANGES, NEAR, PAIRED = 8, 1e-4, 256
+EXCHANGES, NEAR, PAIRED = 8, 1e-4, 64
 #: Rows of one (source, size) that one task ranks, at most about.
 RANKED = 4096
 
