@@ -7,6 +7,7 @@ from lakesift.functions.matching import any_of
 from lakesift.plans.corpus import CORPUS
 
 TABLES = {n: n for n in ("documents", "pages", "orders")}
+# The detectors' patterns, spelled for RE2.
 EMAIL = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?:\+7|8)[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}"
 NAME = r"(?:^|[^\p{L}\p{N}_])([А-ЯЁ][а-яё]{2,20}\s+[А-ЯЁ][а-яё]{2,20}(?:\s+[А-ЯЁ][а-яё]{2,20})?)(?:$|[^\p{L}\p{N}_])"
@@ -109,6 +110,23 @@ DECIDE = {
     "data": f"case when text = '' then false else {STRONG} or len({CLEAN_NAMES}) >= 10 end",
     "images": f"case when text = '' then false else {STRONG} or {SCORE} >= 2 or ({SCORE} >= 1 and len({CLEAN_NAMES}) >= 1) or ({DATES} >= 2 and {SCORE} >= 0.8) end",
 }
+_KEYWORDS = f"{contained(lexicon.DOCUMENT_WORDS)}"
+SCORE_REASONS = (
+    f"list_filter([case when {_KEYWORDS} > 0 then 'kw=' || {_KEYWORDS} end, case when {count(MRZ)} > 0 then 'mrz' end,"
+    f" case when {DATES} >= 2 then 'dates=' || {DATES} end, case when {contained(lexicon.IDENTITY_WORDS)} >= 3 then 'id_combo' end], lambda r: r is not null)"
+)
+_NAMES = f"len({CLEAN_NAMES})"
+RULES = {
+    "text": f"case when {STRONG} then 'strong' when {_NAMES} >= 2 then 'fio_count=' || {_NAMES} end",
+    "data": f"case when {STRONG} then 'strong' when {_NAMES} >= 10 then 'fio_count=' || {_NAMES} end",
+    "images": f"case when {STRONG} then 'strong' when {SCORE} >= 2 then 'doc_score>=2' when {SCORE} >= 1 and {_NAMES} >= 1 then 'doc_score+fio'"
+    f" when {DATES} >= 2 and {SCORE} >= 0.8 then 'dates_score=' || {DATES} end",
+}
+
+
+def reasons(top_dir: str) -> str:
+    """The rule that decides, then what the score is made of."""
+    return f"case when text = '' then 'empty' else array_to_string(list_concat(list_filter([{RULES[top_dir]}], lambda r: r is not null), {SCORE_REASONS}), ' | ') end"
 
 
 def stars(c: str, keep: int) -> str:

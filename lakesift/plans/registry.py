@@ -345,3 +345,80 @@ _add(
     ),
     """select doc_id, sha256(array_to_string(string_split(case when coalesce(text, '') like '%' || chr(10) then text[:-2] else coalesce(text, '') end, chr(10))[1:5], chr(10))) as head from documents""",
 )
+
+# reasons, masked values and raw matches of the other kinds
+for _name, _top in (("q38_reasons_text", "text"), ("q39_reasons_data", "data"), ("q40_reasons_image", "images")):
+    _add(
+        _name,
+        lambda spark, sf_dir, top=_top: _decisions(spark, sf_dir, top).select("kind", "id", F.array_join("reasons", " | ").alias("reasons")),
+        duck.rows(f"kind, id, {duck.reasons(_top)} as reasons from g", duck.ALL, body=_NORMAL, more=duck.GROUP_CTE),
+    )
+_at = lambda name, where: f"list_transform({where}, lambda k: m_{name}[k])"
+_MASKED = {
+    "phone": (duck.found(duck.PHONE), 3),
+    "snils": (f"list_filter({duck.found(duck.SNILS)}, lambda x: {duck.snils('x')})", 3),
+    "card": (_at("card", duck.CARDS), 3),
+    "inn": (f"list_concat({duck.runs(12, 12, duck.inn12('x'))}, {duck.runs(10, 10, duck.inn10('x'))})", 3),
+    "passport": (_at("passport", duck.near("passport", lexicon.NEAR_PASSPORT, 60)), 2),
+    "account": (duck.found(duck.ACCOUNT, 1), 3),
+    "bik": (duck.found(duck.BIK, 1), 3),
+}
+_over_corpus(
+    "q41_masked_findings",
+    lambda c, low: {k: F.array_join(v, "|") for k, v in detection.findings(c).items() if k in _MASKED},
+    {k: f"array_to_string(list_transform({v}, lambda v: {duck.stars('v', keep)}), '|')" for k, (v, keep) in _MASKED.items()},
+    ("card", "passport"),
+)
+_over_corpus(
+    "q42_debug_names_passports",
+    lambda c, low: {k.lower(): F.coalesce(F.array_join(F.try_element_at(detection.matches(c), F.lit(k)), "|"), F.lit("")) for k in ("PASSPORT_RU", "FIO_RU")},
+    {"passport_ru": _distinct(duck.found(duck.PASSPORT)), "fio_ru": _distinct(duck.CLEAN_NAMES)},
+)
+
+
+# placement over tables: each text is a file
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = read(spark, sf_dir, "documents", "pages", "events")
+    rows = (
+        tables["documents"].selectExpr("'text' as top_dir", "concat('d', doc_id, '.txt') as name", "text as c")
+        .unionByName(tables["pages"].selectExpr("'data' as top_dir", "concat('p', page_id, '.html') as name", "html as c"))
+        .unionByName(tables["events"].selectExpr("'data' as top_dir", "concat('e', event_id, '.json') as name", "props as c"))
+    )
+    content = F.coalesce("c", F.lit("")).cast("binary")
+    return rows.select("top_dir", "name", F.concat_ws("/", "top_dir", "name").alias("path"), F.octet_length(content).cast("long").alias("size"), F.substring(content, 1, formats.HEADER_BYTES).alias("header"))
+
+
+_FILES_SQL = f"""with c as (
+    select 'text' as top_dir, 'd' || doc_id || '.txt' as name, '.txt' as ext, coalesce(text, '') as c from documents
+    union all select 'data', 'p' || page_id || '.html', '.html', coalesce(html, '') from pages
+    union all select 'data', 'e' || event_id || '.json', '.json', coalesce(props, '') from events
+),
+h as (select top_dir, name, ext, top_dir || '/' || name as path, strlen(c)::bigint as size, substr(hex(encode(c)), 1, 1024) as h from c),
+s as (select *, {_duck_sniff('h', 'ext')} as o from h),
+d as (select *, o.folder as folder, o.label as label, o.note as note from s)
+"""
+_add(
+    "q43_plan_hashed_names",
+    lambda spark, sf_dir: organize.plan(_files(spark, sf_dir), action="move", keep_unknown=False, preserve_names=False),
+    _FILES_SQL
+    + "select path as original_path, folder || '/' || md5(path)[1:16] || ext as target_path, size as size_bytes, folder as detected_folder, label as detected_format,"
+    + " note is not null as is_spoofed, note as spoof_note, 'move' as action from d where folder <> 'unknown'",
+)
+_add(
+    "q44_summary_of_files",
+    lambda spark, sf_dir: organize.summary(organize.plan(_files(spark, sf_dir))),
+    _FILES_SQL
+    + "select folder, count(*) as count, sum(size)::bigint as size_bytes, count(note) as spoofed_count, round(sum(size) / 1048576.0::double, 2) as size_mb from d group by rollup(folder)",
+)
+_add(
+    "q45_verify_files",
+    lambda spark, sf_dir: organize.verify(_files(spark, sf_dir)).select(
+        "folder", "total", "correct", "accuracy", "size_bytes", F.array_join(F.transform("examples", lambda x: F.concat_ws(" ", x["name"], x["detected_folder"], x["detected_format"])), ", ").alias("examples")
+    ),
+    _FILES_SQL
+    + """, w as (select *, row_number() over (partition by top_dir order by name, folder) as n from d where folder <> top_dir),
+x as (select top_dir, string_agg(name || ' ' || folder || ' ' || label, ', ' order by name, folder) as examples from w where n <= 5 group by top_dir)
+select d.top_dir as folder, count(*) as total, count_if(folder = d.top_dir)::bigint as correct, round(count_if(folder = d.top_dir) * 100.0::double / count(*), 2) as accuracy,
+       sum(size)::bigint as size_bytes, coalesce(any_value(x.examples), '') as examples
+from d left join x on x.top_dir = d.top_dir group by d.top_dir""",
+)
