@@ -23,7 +23,7 @@ from lakesift.llm.quality import bucket, labelled
 from lakesift.llm.words import Texts, mix, pieces
 
 #: Labelled rows to learn from, at most: those whose ids hash lowest.
-SAMPLE = 6_000
+SAMPLE = 5_000
 #: Files that the sample is kept in, at most.
 PARTS = 8
 CHAIN = 64
@@ -256,7 +256,8 @@ def toxic_markers(rows: DataFrame) -> np.ndarray:
 
 
 def _training_tokens(markers: np.ndarray):
-    """For each text to learn from its tokens' types and tags; and for each batch the types' feature slots.
+    """A row for each batch: its types of tokens and their feature slots, the tokens of its texts (type in the batch, doubled, plus
+    tag) one text after another, and how many each text has.
 
     A toxic row without a marker gives none: which of its tokens are toxic is not known.
     """
@@ -271,14 +272,11 @@ def _training_tokens(markers: np.ndarray):
                 kind = mix(kind + features[:, i].astype(np.uint64), 80 + i)
             owner = np.repeat(np.arange(len(labels)), np.diff(t.first))
             tag = np.isin(t.markers(), markers).any(1) & (labels[owner] == 1)
-            marked = np.bincount(owner, tag, len(labels)) > 0
-            out: list[tuple] = []
-            for i in np.flatnonzero(((labels != 1) | marked) & (np.diff(t.first) > 0)).tolist():
-                a, b = int(t.first[i]), int(t.first[i + 1])
-                out.append((kind[a:b].tobytes(), tag[a:b].astype(np.int8).tobytes(), None))
-            types, at = np.unique(kind, return_index=True)
-            out.append((types.tobytes(), None, features[at].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["types", "tags", "features"])
+            told = (labels != 1) | (np.bincount(owner, tag, len(labels)) > 0)
+            types, at, local = np.unique(kind, return_index=True, return_inverse=True)
+            tokens = (local * 2 + tag).astype(np.int32)[told[owner]]
+            row = (types.tobytes(), features[at].tobytes(), tokens.tobytes(), np.diff(t.first)[told].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["types", "features", "tokens", "counts"])
 
     return run
 
@@ -289,27 +287,32 @@ def train(docs: DataFrame, labels: DataFrame, *, folds=5, held=0, label_col="tox
     markers = toxic_markers(rows)
     got: list[tuple[bytes, bytes]] = []
     slots: dict[int, bytes] = {}
-    told = rows.mapInArrow(_training_tokens(markers), "types binary, tags binary, features binary").toArrow()
-    for types, tags, features in zip(*(told.column(c).to_pylist() for c in ("types", "tags", "features")), strict=True):
-        if features is None:
-            got.append((types, tags))
-        else:
-            own = np.frombuffer(features, np.int32).reshape(len(types) // 8, -1)
-            slots.update(zip(np.frombuffer(types, np.uint64).tolist(), map(bytes, own), strict=True))
-    del told
+    known: dict[int, int] = {}
+    kinds: list[np.ndarray] = []
+    texts: list[np.ndarray] = []
+    # a partition at a time: what is kept is four bytes a token and each type's features once
+    for r in rows.mapInArrow(_training_tokens(markers), "types binary, features binary, tokens binary, counts binary").toLocalIterator():
+        before, hashes = len(known), np.frombuffer(r["types"], np.uint64)
+        here = np.array([known.setdefault(h, len(known)) for h in hashes.tolist()], np.int32)
+        kinds.append(np.frombuffer(r["features"], np.int32).reshape(len(hashes), -1)[here >= before])
+        tokens, counts = np.frombuffer(r["tokens"], np.int32), np.frombuffer(r["counts"], np.int32)
+        if len(tokens):
+            texts += np.split(here[tokens >> 1] * 2 + (tokens & 1), np.cumsum(counts)[:-1])
     discard(rows)
-    if not len(markers) or not got:
+    texts = [x for x in texts if len(x)]
+    if not len(markers) or not texts:
         return Field(np.zeros(SLOTS), np.array([[0.0, -30.0], [0.0, -30.0]]), np.array([0.0, -30.0]))
-    known = np.array(sorted(slots), np.uint64)
-    kinds = np.frombuffer(b"".join(slots[k] for k in known.tolist()), np.int32).reshape(len(known), -1)
-    got.sort()  # the same field whatever the order of tasks
-    sizes = [len(t) for _, t in got]
-    lengths = np.concatenate([np.minimum(CHAIN, n - np.arange(0, n, CHAIN)) for n in sizes])
+    # the same field whatever the order of tasks
+    order = np.argsort(np.array(list(known), np.uint64))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    texts = sorted((rank[x >> 1] * 2 + (x & 1) for x in texts), key=bytes)
+    lengths = np.concatenate([np.minimum(CHAIN, len(x) - np.arange(0, len(x), CHAIN)) for x in texts])
     live = np.arange(CHAIN)[None, :] < lengths[:, None]
-    types, tags = np.zeros(live.shape, np.int32), np.zeros(live.shape, np.int64)
-    types[live] = np.searchsorted(known, np.frombuffer(b"".join(t for t, _ in got), np.uint64))
-    tags[live] = np.frombuffer(b"".join(t for _, t in got), np.int8)
-    return fit(kinds, types, tags, lengths)
+    types, tags = np.zeros(live.shape, np.int32), np.zeros(live.shape, np.int8)
+    every = np.concatenate(texts)
+    types[live], tags[live] = every >> 1, every & 1
+    return fit(np.concatenate(kinds)[order], types, tags, lengths)
 
 
 def marginals(tokens: Tokens, field: Field) -> np.ndarray:

@@ -228,7 +228,8 @@ def test_toxic_markers(spark):
     assert [w in found for w in words] == [True, True, False]
     # a toxic row without a marker is not taken for clean
     three = spark.createDataFrame([("vile thing", 1), ("some thing", 1), ("any thing", 0)], "text string, label int")
-    assert three.mapInArrow(toxicity._training_tokens(found), "types binary, tags binary, features binary").filter("tags is not null").count() == 2
+    rows = three.coalesce(1).mapInArrow(toxicity._training_tokens(found), "types binary, features binary, tokens binary, counts binary").collect()
+    assert sum(len(r["counts"]) // 4 for r in rows) == 2 and sum(len(r["tokens"]) // 4 for r in rows) == 4
 
 
 def test_marginals():
