@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
+BATCH_CONF, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 
 def workdir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
@@ -36,13 +40,25 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{workdir(spark)}/lakesift/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Whole texts travel to Python in batches of at most BATCH rows meanwhile, which bounds what a worker and its JVM hold at a time."""
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back: cuts the lineage, survives lost executors.
 
     The files stay until ``discard`` or until the folder is emptied; the returned frame reads them.
     """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stashed_at = path
     return out
