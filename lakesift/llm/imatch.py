@@ -8,7 +8,7 @@ have in common.  Only DataFrame functions are used.
 
 A text without any term in the band, one of a very large group of copies for instance, has the hashes of all its terms.
 
-Membership is looked up in a table of one bit for each of SLOTS hash slots, a constant of the plan, so that no term has to be
+Membership is looked up in a table of one bit for each of SLOTS hash slots, which goes out with the tasks, so that no term has to be
 shuffled back to its text: a term belongs if its three slots are all set by terms in the band.  Another term is taken for
 one of n in the band with a chance of about ``(3 n / SLOTS) ** 3``: 3 in 10 million for 10,000 terms, 4 in 10,000 for 100,000.  The lexicon
 is bounded: no more terms than distinct terms a document on average, divided by LOW.
@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,22 +49,25 @@ def lexicon(texts: DataFrame) -> DataFrame:
 
 
 def membership(texts: DataFrame) -> Column:
-    """Bits of the slots, four to a byte (64 + bits, so that it is a character): set where a term in the band has the slot."""
-    found = bytearray(b"@" * (SLOTS >> 2))
-    for (h,) in lexicon(texts).select(F.xxhash64("term")).toLocalIterator():
-        for shift in SHIFTS:
-            at = (h >> shift) & (SLOTS - 1)
-            found[at >> 2] |= 1 << (at & 3)
-    return F.lit(bytes(found))
+    """Bits of the slots, 64 to an element: set where a term in the band has the slot.
+
+    A scalar subquery: as a literal its megabytes would stand in every text that the driver keeps of the plan.
+    """
+    hashes = lexicon(texts).select(F.xxhash64("term").alias("h")).toArrow().column("h").to_numpy().view(np.uint64)
+    found = np.zeros(SLOTS >> 6, np.uint64)
+    for shift in SHIFTS:
+        at = (hashes >> np.uint64(shift)) & np.uint64(SLOTS - 1)
+        np.bitwise_or.at(found, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+    return texts.sparkSession.createDataFrame(pa.table({"bits": pa.array([found.view(np.int64)], pa.list_(pa.int64()))})).scalar()
 
 
 def is_member(bits: Column, h: Column) -> Column:
     """Whether the slots of a term's hash are set; the later ones are looked at only where the first is."""
 
     def is_set(shift: int) -> Column:
-        at = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-        four = F.ascii(F.substring(bits, F.shiftright(at, 2) + 1, F.lit(1)).cast("string"))
-        return F.call_function("shiftright", four, at.bitwiseAND(F.lit(3))).bitwiseAND(F.lit(1)) == 1
+        at = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(SLOTS - 1))
+        some = F.get(bits, F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftright", some, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
     return is_set(SHIFTS[0]) & is_set(SHIFTS[1]) & is_set(SHIFTS[2])
 
@@ -71,8 +76,11 @@ def _under(at: int, most: str):
     return lambda x: F.substring(x["m"], at, 2) < most
 
 
-def fingerprint(all_terms: Column, bits: Column) -> Column:
-    """Hashes of the parts, joined by '-'; EMPTY for a part that keeps none of the text's terms (given as a column, so that they are split once).
+def fingerprint(text: Column, bits: Column) -> Column:
+    """Hashes of the parts, joined by '-'; EMPTY for a part that keeps none of the text's terms.
+
+    ``bits`` is a column that holds the subquery (which may not stand in a higher-order function itself) and is named but once,
+    as ``text`` is, so that the optimizer puts it in place and rows do not carry it.
 
     A text none of whose terms are in the lexicon has parts of all its terms, and one whose few terms no part keeps
     has their hash in every part.
@@ -89,8 +97,8 @@ def fingerprint(all_terms: Column, bits: Column) -> Column:
         whole = F.substring(F.md5(F.array_join(F.transform(k, lambda x: x["t"]), " ")), 1, 8)
         return once(F.concat_ws("-", *out), lambda p: F.when((p == NOTHING) & (F.size(k) > 0), F.concat_ws("-", *[whole] * len(KEEP))).otherwise(p))
 
-    members = F.filter(all_terms, lambda t: is_member(bits, F.xxhash64(t)))
-    return once(members, lambda own: once(digested(F.when(F.size(own) > 0, own).otherwise(all_terms)), parts))
+    members = lambda k: once(bits, lambda b: F.filter(k, lambda t: is_member(b, F.xxhash64(t))))
+    return once(terms(text), lambda k: once(members(k), lambda own: once(digested(F.when(F.size(own) > 0, own).otherwise(k)), parts)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -157,13 +165,13 @@ def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFr
         .withColumn("edited", F.concat(F.left("text", n - half), F.left(F.coalesce("next_text", "text"), half)))
         .withColumn("n_chars", n.cast("long"))
         .withColumn("edited_sha256", F.sha2("edited", 256))
-        .withColumn("text_terms", terms(F.col("text")))
-        .withColumn("fingerprint", fingerprint(F.col("text_terms"), bits))
-        .drop("text", "text_terms", "next_text")
+        .withColumn("bits", bits)
+        .withColumn("fingerprint", fingerprint(F.col("text"), F.col("bits")))
+        .drop("text", "bits", "next_text")
         .withColumn("next_fingerprint", F.lead("fingerprint").over(order))
         .filter("not ghost")
-        .withColumn("edited_terms", terms(F.col("edited")))
-        .withColumn("edited_fingerprint", fingerprint(F.col("edited_terms"), bits))
+        .withColumn("bits", bits)
+        .withColumn("edited_fingerprint", fingerprint(F.col("edited"), F.col("bits")))
     )
     return told.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",

@@ -369,6 +369,16 @@ def test_fingerprint_edges(spark):
     assert 0.5 <= near <= 1 and imatch.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_fingerprint_plan_is_short(spark):
+    """The driver keeps a plan's text many times over: the band's table may not stand in it, nor be a column of the rows."""
+    docs = spark.createDataFrame([(i, prose(50, i % 7)) for i in range(40)], "doc_id long, text string")
+    got = imatch.fingerprints(docs)
+    assert len(got._jdf.queryExecution().toString()) < 1_000_000
+    assert " AS bits#" not in got._jdf.queryExecution().optimizedPlan().toString()
+    # copies of a text are alike; texts that differ are not
+    assert len({r["fingerprint"] for r in got.collect()}) == 7
+
+
 def test_storage(spark, monkeypatch):
     """Stashes lie in the session's shared folder and go when discarded; a cluster without one raises."""
     df = common.stash(spark.range(3).toDF("x"), "test")
