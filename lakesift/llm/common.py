@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
+#: Bits in a table of marks for each value, and at most.
+BITS_EACH, MOST_BITS = 16, 1 << 27
+
 BATCH_CONF, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
@@ -74,6 +79,24 @@ def discard(*stashes: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def maybe_among(value: Column, values: DataFrame) -> Column:
+    """Whether the long ``value`` may be in ``values`` (distinct, of one column): true for all that are and, by chance, a few others.
+
+    A filter before a join on it, so that what has no partner need not be shuffled.  One bit a value by its hash, in a scalar
+    subquery; about one in BITS_EACH others passes, more where more than MOST_BITS / BITS_EACH values are marked.
+    """
+    bits = min(MOST_BITS, 1 << max(6, (BITS_EACH * values.count() - 1).bit_length()))
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
+    place = lambda c: F.shiftright(slot(c), 6).cast("int")
+    bit = lambda c: slot(c).bitwiseAND(F.lit(63)).cast("int")
+    own = F.col(values.columns[0])
+    words = values.groupBy(place(own).alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(own))).alias("word")).toArrow()
+    found = np.zeros(bits >> 6, np.int64)
+    found[words.column("place").to_numpy()] = words.column("word").to_numpy()
+    table = values.sparkSession.createDataFrame(pa.table({"bits": pa.array([found], pa.list_(pa.int64()))})).scalar()
+    return F.call_function("shiftright", F.get(table, place(value)), bit(value)).bitwiseAND(F.lit(1)) == 1
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind as it takes for ``df`` to have no such column (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -379,6 +379,24 @@ def test_fingerprint_plan_is_short(spark):
     assert len({r["fingerprint"] for r in got.collect()}) == 7
 
 
+def test_marks(spark, monkeypatch):
+    """The marks let every value through that is among the marked, and few others; nothing is marked in an empty table; the joins on keys use them."""
+    values, marked = spark.range(-1000, 19_000).toDF("x"), spark.range(0, 19_000, 40).toDF("y")
+    passed = {r["x"] for r in values.filter(common.maybe_among(F.col("x"), marked)).collect()}
+    assert passed >= set(range(0, 19_000, 40)) and len(passed) < 3000
+    assert values.filter(common.maybe_among(F.col("x"), marked.limit(0))).count() == 0
+    monkeypatch.setattr(common, "MOST_BITS", 64)
+    assert values.filter(common.maybe_among(F.col("x"), marked)).join(marked, F.col("x") == F.col("y")).count() == 475
+    monkeypatch.undo()
+    sent = {}
+    monkeypatch.setattr(clusters, "stash", lambda df, tag: sent.setdefault(tag, df))
+    monkeypatch.setattr(clusters, "discard", lambda *_: None)
+    keyed = spark.createDataFrame([(k, f"n{k}") for k in range(3000)] + [(7, "a"), (9, "b")], "key long, node string")
+    got = clusters.shared_members(keyed)
+    assert sorted((r["key"], r["m"], r["node"]) for r in got.collect()) == [(7, 2, "a"), (7, 2, "n7"), (9, 2, "b"), (9, 2, "n9")]
+    assert "scalar-subquery" in sent["shared-nodes"]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_storage(spark, monkeypatch):
     """Stashes lie in the session's shared folder and go when discarded; a cluster without one raises."""
     df = common.stash(spark.range(3).toDF("x"), "test")
