@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import discard, maybe_among, stash
+from lakesift.llm.common import discard, maybe_marked, stash
 from lakesift.llm.words import pieces
 
 #: Nodes that one unit of the first round holds, about; nodes and bytes of a unit's side in the second.
@@ -66,7 +66,7 @@ def shared_members(keyed: DataFrame) -> DataFrame:
     adaptive execution splits where a key is hot.
     """
     shared = stash(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("key"), "shared-keys")
-    members = stash(keyed.filter(maybe_among(F.col("key"), shared)).join(shared, "key").repartition("key", "node").distinct(), "shared-nodes")
+    members = stash(maybe_marked(keyed, "key", shared).join(shared, "key").repartition("key", "node").distinct(), "shared-nodes")
     alike = members.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
     units = alike.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m")
     out = stash(members.join(units, "key"), "shared-members")

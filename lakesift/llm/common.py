@@ -20,6 +20,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 #: Bits in a table of marks for each value, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 27
+#: A larger table is broadcast in blocks of so many bits: as a scalar subquery it is copied with each stage, dozens of times its size on the driver.
+INLINE_BITS, BLOCK_BITS = 1 << 19, 16
 
 BATCH_CONF, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
@@ -79,22 +81,59 @@ def discard(*stashes: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def maybe_among(value: Column, values: DataFrame) -> Column:
+def _slot(c: Column, bits: int) -> Column:
+    return F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
+
+
+def _place(c: Column, bits: int) -> Column:
+    return F.shiftright(_slot(c, bits), 6).cast("int")
+
+
+def _bit(c: Column, bits: int) -> Column:
+    return _slot(c, bits).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _bits_for(values: DataFrame) -> int:
+    return min(MOST_BITS, 1 << max(6, (BITS_EACH * values.count() - 1).bit_length()))
+
+
+def _words(values: DataFrame, bits: int) -> DataFrame:
+    """``place, word``: the marks, 64 a row, without rows that have none."""
+    own = F.col(values.columns[0])
+    return values.groupBy(_place(own, bits).alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(own, bits))).alias("word"))
+
+
+def maybe_among(value: Column, values: DataFrame, bits: int | None = None) -> Column:
     """Whether the long ``value`` may be in ``values`` (distinct, of one column): true for all that are and, by chance, a few others.
 
     A filter before a join on it, so that what has no partner need not be shuffled.  One bit a value by its hash, in a scalar
     subquery; about one in BITS_EACH others passes, more where more than MOST_BITS / BITS_EACH values are marked.
     """
-    bits = min(MOST_BITS, 1 << max(6, (BITS_EACH * values.count() - 1).bit_length()))
-    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
-    place = lambda c: F.shiftright(slot(c), 6).cast("int")
-    bit = lambda c: slot(c).bitwiseAND(F.lit(63)).cast("int")
-    own = F.col(values.columns[0])
-    words = values.groupBy(place(own).alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(own))).alias("word")).toArrow()
+    bits = bits or _bits_for(values)
+    words = _words(values, bits).toArrow()
     found = np.zeros(bits >> 6, np.int64)
     found[words.column("place").to_numpy()] = words.column("word").to_numpy()
     table = values.sparkSession.createDataFrame(pa.table({"bits": pa.array([found], pa.list_(pa.int64()))})).scalar()
-    return F.call_function("shiftright", F.get(table, place(value)), bit(value)).bitwiseAND(F.lit(1)) == 1
+    return F.call_function("shiftright", F.get(table, _place(value, bits)), _bit(value, bits)).bitwiseAND(F.lit(1)) == 1
+
+
+def maybe_marked(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose long ``column`` may be in ``values``, as ``maybe_among`` has it; a table of over INLINE_BITS bits is broadcast.
+
+    Such a table is put together by the executors and passes through the driver once, whatever the number of stages.
+    """
+    bits = _bits_for(values)
+    if bits <= INLINE_BITS:
+        return df.filter(maybe_among(F.col(column), values, bits))
+    block, marks = unused(df, "block", "marks")
+    every = values.sparkSession.range(bits >> 6).select(F.col("id").cast("int").alias("place"), F.lit(0).cast("long").alias("word"))
+    dense = _words(values, bits).unionByName(every).groupBy("place").agg(F.bit_or("word").alias("word"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"])
+    table = dense.groupBy(F.shiftright("place", BLOCK_BITS - 6).alias(block)).agg(whole.alias(marks))
+    place = _place(F.col(column), bits)
+    word = F.get(F.col(marks), place.bitwiseAND(F.lit((1 << BLOCK_BITS - 6) - 1)))
+    on = F.call_function("shiftright", word, _bit(F.col(column), bits)).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(table), (F.shiftright(place, BLOCK_BITS - 6) == F.col(block)) & on, "left_semi")
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.llm.clusters import Linker, components, shared_members, verified_links
-from lakesift.llm.common import discard, maybe_among, stash, unused
+from lakesift.llm.common import discard, maybe_marked, stash, unused
 from lakesift.llm.words import mix, pieces, powers
 
 #: Shortest line for a threshold of so many edits; shorter lines than all have only exact copies.
@@ -190,10 +190,10 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "pos")
     node = F.concat_ws("-", F.hex("h1"), F.hex("h2"))
     nodes = shared.select(F.col("node").alias("h1")).distinct()
-    active = seen.filter(maybe_among(F.col("h1"), nodes)).join(nodes, "h1").groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("at"))
+    active = maybe_marked(seen, "h1", nodes).join(nodes, "h1").groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("at"))
     active = stash(active.select("h1", "h2", "at", node.alias("node")), "lines-active")
     wanted = active.groupBy(F.col("at.id").alias("wid"), F.col("at.th").alias("wth")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "h1", "h2", "node")).alias("wanted"))
-    base = base.filter(maybe_among(F.col("th"), active.select("at.th").distinct()))
+    base = maybe_marked(base, "th", active.select("at.th").distinct())
     texts = base.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).select("text", "wanted")
     payloads = stash(texts.mapInArrow(_lines_wanted, "node string, payload binary").groupBy("node").agg(F.first("payload").alias("payload")), "lines-texts")
     named = stash(shared.withColumnRenamed("node", "h1").join(active.select("h1", "node"), "h1").select("key", "m", "node"), "lines-members")

@@ -397,6 +397,23 @@ def test_marks(spark, monkeypatch):
     assert "scalar-subquery" in sent["shared-nodes"]._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_marks_of_many(spark, monkeypatch):
+    """A large table of marks lets the same values through, whatever the columns' names, and is no scalar subquery, which the driver copies with every stage."""
+    values, marked = spark.range(-1000, 19_000).selectExpr("id as x", "id as block", "id as marks"), spark.range(0, 19_000, 40).toDF("y")
+    inline = {r["x"] for r in common.maybe_marked(values, "x", marked).collect()}
+    monkeypatch.setattr(common, "INLINE_BITS", 64)
+    monkeypatch.setattr(common, "BLOCK_BITS", 9)
+    got = common.maybe_marked(values, "x", marked)
+    assert got.columns == values.columns and {r["x"] for r in got.collect()} == inline >= set(range(0, 19_000, 40))
+    monkeypatch.undo()
+    sent = {}
+    monkeypatch.setattr(clusters, "stash", lambda df, tag: sent.setdefault(tag, df))
+    monkeypatch.setattr(clusters, "discard", lambda *_: None)
+    keyed = spark.range(100_000).selectExpr("id % 60000 as key", "concat('n', id) as node")
+    assert clusters.shared_members(keyed).agg(F.count("*"), F.countDistinct("key")).first()[:] == (80_000, 40_000)
+    assert "scalar-subquery" not in sent["shared-nodes"]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_storage(spark, monkeypatch):
     """Stashes lie in the session's shared folder and go when discarded; a cluster without one raises."""
     df = common.stash(spark.range(3).toDF("x"), "test")
