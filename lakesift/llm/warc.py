@@ -144,12 +144,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(_parse, RECORDS)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: ``transaction_id, request, response, metadata`` (structs, null where missing).
-
-    Records meet under the identifier that they are concurrent to, or their own.  A response that
-    nothing refers to, or a request without its response, still makes a row.
-    """
+def _flat(records: DataFrame) -> DataFrame:
+    """``transaction_id`` and the fields of ``assemble``'s structs, each with its struct's name before it: what is not read is not shuffled."""
     of = lambda kinds, c: F.first(F.when(F.col("record_type").isin(*kinds), F.col(c)), ignorenulls=True)
     main, made = ("response", "revisit"), {}
     for c in ("record_type", "record_id", "refers_to", "target_uri", "payload_digest", "head", "payload", "payload_bytes", "found_digest"):
@@ -158,8 +154,17 @@ def assemble(records: DataFrame) -> DataFrame:
         for c in ("record_id", "head"):
             made[f"{kind}_{c}"] = of((kind,), c)
     keyed = records.withColumn("transaction_id", F.coalesce("concurrent_to", "record_id")).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("found_digest", base32_sha1(F.col("payload")))
-    flat = keyed.groupBy("transaction_id").agg(*(v.alias(k) for k, v in made.items()))
-    nested = lambda kind: F.when(F.col(f"{kind}_record_id").isNotNull(), F.struct(*(F.col(k).alias(k.removeprefix(f"{kind}_")) for k in made if k.startswith(f"{kind}_")))).alias(kind)
+    return keyed.groupBy("transaction_id").agg(*(v.alias(k) for k, v in made.items()))
+
+
+def assemble(records: DataFrame) -> DataFrame:
+    """One nested row per capture: ``transaction_id, request, response, metadata`` (structs, null where missing).
+
+    Records meet under the identifier that they are concurrent to, or their own.  A response that
+    nothing refers to, or a request without its response, still makes a row.
+    """
+    flat = _flat(records)
+    nested = lambda kind: F.when(F.col(f"{kind}_record_id").isNotNull(), F.struct(*(F.col(k).alias(k.removeprefix(f"{kind}_")) for k in flat.columns if k.startswith(f"{kind}_")))).alias(kind)
     return flat.select("transaction_id", nested("request"), nested("response"), nested("metadata"))
 
 
@@ -169,11 +174,17 @@ def captures(transactions: DataFrame) -> DataFrame:
     Revisits get the payload's size from the response they refer to; digests are taken from the
     payload as read, and for revisits from that of their response.  An archive without records gives no rows.
     """
-    field = lambda name: F.regexp_extract("metadata.head", rf"(?m)^{name}: (\d+|-\d+)\r?$", 1)
-    r = F.col("response")
-    flat = transactions.filter(r.isNotNull()).select(
-        r["record_id"].alias("record_id"), r["record_type"].alias("record_type"), r["refers_to"].alias("head_id"), r["payload_bytes"].alias("bytes"), r["found_digest"].alias("digest"), r["payload_digest"].alias("told"),
-        F.expr("try_cast(nullif(" + "regexp_extract(metadata.head, '(?m)^capture-id: (-?[0-9]+)\\\\r?$', 1)" + ", '') as bigint)").alias("capture_id"), F.coalesce(F.nullif(field("copies"), F.lit("")).cast("long"), F.lit(1)).alias("copies"),
+    fields = [F.col("response")[c].alias(f"response_{c}") for c in ("record_id", "record_type", "refers_to", "payload_bytes", "found_digest", "payload_digest")]
+    return _captures(transactions.select(*fields, F.col("metadata")["record_id"].alias("metadata_record_id"), F.col("metadata")["head"].alias("metadata_head")))
+
+
+def _captures(flat: DataFrame) -> DataFrame:
+    """``captures`` of flat transactions."""
+    head = F.when(F.col("metadata_record_id").isNotNull(), F.col("metadata_head"))
+    field = lambda name: F.regexp_extract("metadata_head", rf"(?m)^{name}: (\d+|-\d+)\r?$", 1)
+    flat = flat.filter(F.col("response_record_id").isNotNull()).withColumn("metadata_head", head).select(
+        F.col("response_record_id").alias("record_id"), F.col("response_record_type").alias("record_type"), F.col("response_refers_to").alias("head_id"), F.col("response_payload_bytes").alias("bytes"), F.col("response_found_digest").alias("digest"), F.col("response_payload_digest").alias("told"),
+        F.expr("try_cast(nullif(" + "regexp_extract(metadata_head, '(?m)^capture-id: (-?[0-9]+)\\\\r?$', 1)" + ", '') as bigint)").alias("capture_id"), F.coalesce(F.nullif(field("copies"), F.lit("")).cast("long"), F.lit(1)).alias("copies"),
     )
     flat = stash(flat, "warc-captures")
     heads = flat.filter("record_type = 'response'").select(F.col("record_id").alias("head_id"), F.col("bytes").alias("head_bytes"), F.col("digest").alias("head_digest"), F.col("capture_id").alias("head_capture"))
@@ -184,8 +195,8 @@ def captures(transactions: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, *, id_col="page_id", url_col="url", payload_col="html", min_payload=0) -> DataFrame:
-    """Write archives of ``pages`` to shared storage, read them back, assemble and resolve them."""
+    """Write archives of ``pages`` to shared storage, read them back, assemble and resolve them; payloads as read are hashed, and not shuffled."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, id_col=id_col, url_col=url_col, payload_col=payload_col, min_payload=min_payload)
-    return captures(assemble(read_records(spark, path)))
+    return _captures(_flat(read_records(spark, path)))

@@ -342,6 +342,23 @@ def test_warc_edges(spark):
     assert small[2] == "revisit" and small[4] == small[None] == "response"
 
 
+def test_warc_payloads_stay(spark, monkeypatch):
+    """The round trip assembles sizes and digests of payloads as read, without shuffling the payloads; transactions have them and give the same captures."""
+    rows = [(1, "http://a/", "one\r\n\r\ntwo"), (2, "http://b/", "one\r\n\r\ntwo"), (3, None, None), (4, "http://d/", "ж" * 5000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sent = {}
+    monkeypatch.setattr(warc, "stash", lambda df, tag: sent.setdefault(tag, df))
+    got = sorted(map(str, warc.round_trip(pages).collect()))
+    plan = sent["warc-captures"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "response_payload_bytes#" in plan and "response_payload#" not in plan
+    path = common.new_path(spark, "test-warc")
+    warc.write_archives(pages, path, id_col="page_id", url_col="url", payload_col="html")
+    whole = warc.assemble(warc.read_records(spark, path))
+    assert sorted(bytes(r["response"]["payload"]).decode() for r in whole.collect()) == ["", "", "one\r\n\r\ntwo", "ж" * 5000]
+    sent.clear()
+    assert sorted(map(str, warc.captures(whole).collect())) == got
+
+
 def test_license_edges(spark):
     mit = LICENSES["MIT"]
     rows = [(1, mit, "x"), (1, mit, "x"), (None, mit.replace("LICENSE", "Licence").replace("\n", " \n "), "x"), (2, "word " * 100_000, "x"), (3, None, "x"), (4, "…!", "x")]
