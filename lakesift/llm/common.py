@@ -147,6 +147,23 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def word_count(text: Column) -> Column:
+    """How many words (WORD) a text has, null for null, without a list of them.
+
+    ``regexp_count`` makes the whole list, with a match and a string for each word.  Here blanks become spaces, then pairs of
+    characters that are in no text any more, so that two blanks in a row show as the pair's end and start; between
+    one blank put before and one behind, each other blank but the last starts a word.
+    """
+    for blank in "\t\n\v\f\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    spaced = F.concat(F.lit(" "), text, F.lit(" "))
+    paired = F.replace(spaced, F.lit(" "), F.lit("\t\n"))
+    long = lambda c: F.octet_length(c).cast("long")
+    blanks = long(paired) - long(spaced)
+    in_a_row = F.shiftright(long(paired) - long(F.replace(paired, F.lit("\n\t"), F.lit(""))), 1)
+    return blanks - in_a_row - 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

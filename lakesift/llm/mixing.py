@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import WORD, discard, source_key, stash, unused
+from lakesift.llm.common import discard, source_key, stash, unused, word_count
 
 #: Newton's steps at most; it is an error if the worst source is not within ENOUGH of its target by then.
 MAX_STEPS = 80
@@ -144,7 +144,7 @@ def exchanged(cells: DataFrame, cap=2.0) -> DataFrame:
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list:
     """A row's id, source, key of its source, size and hash, as columns."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    size = F.coalesce(word_count(F.col(text_col)), F.lit(0)).cast("long")
     return [F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("skey"), size.alias("size"), F.xxhash64(F.col(id_col), size).alias("h")]
 
 

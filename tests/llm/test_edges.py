@@ -105,6 +105,17 @@ def test_mixing_stage(edges):
     assert taken == +mixed
 
 
+def test_mixing_sizes(spark):
+    """Sizes are counts of words, without a list of them (a match and a string for each word of a text)."""
+    rng = random.Random(7)
+    texts = [None, "", " ", "\n\t \x0b\x0c\r", "a", " a", "a ", "a\t\nb", "\u00a0", "a\x1cb\u2003c\x00 \u0085", "\U0001f600 \u00e4\r\n\u4e2d", "  two \x0b\x0b words  ", "w " * 20000]
+    texts += ["".join(rng.choice("\t\n\x0b\x0c\r  \x1c\u00a0a\u00e9\U0001f600") for _ in range(rng.randrange(40))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    sized = docs.select(*mixing._sized(docs, "doc_id", "text", "source"))
+    assert "regexp_extract_all" not in sized._jdf.queryExecution().toString()
+    assert {r["id"]: r["size"] for r in sized.collect()} == {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
+
+
 def test_mixing_targets(spark):
     """Water filling and totals recomputed: targets to the word, taken words as near as whole documents come."""
     rng = random.Random(6)
