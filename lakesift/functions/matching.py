@@ -7,11 +7,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<m:string,pos:int>>"
+#: What ``(?U)\\s`` matches, and the separators \\x1c to \\x1f.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def any_of(words: Iterable[str]) -> str:
@@ -19,8 +23,27 @@ def any_of(words: Iterable[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-def contains_any(c: Column, words: Iterable[str]) -> Column:
-    return F.coalesce(c.rlike(any_of(words)), F.lit(False))
+def grouped(words: Iterable[str]) -> str:
+    """``any_of`` by first characters, for Java: at each character it tries those words only that begin with it."""
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        rest.setdefault(w[0], []).append(w[1:])
+    heads = "".join(map(re.escape, rest))
+    return f"(?=[{heads}])(?:" + "|".join(f"{re.escape(k)}(?:{any_of(v)})" for k, v in rest.items()) + ")"
+
+
+def contains_any(c: Column, words: Iterable[str], cyrillic: Column | None = None) -> Column:
+    """Looked for in bytes: a pattern of alternatives tries each of them at every character.
+
+    Where ``cyrillic`` is false, words that begin with a Cyrillic letter are not looked for.
+    """
+    words = tuple(dict.fromkeys(words))
+    least = [w for w in words if not any(v != w and v in w for v in words)]
+    gated = [w for w in least if cyrillic is not None and "а" <= w[0] <= "я"]
+    found = [c.contains(w) for w in least if w not in gated]
+    if gated:
+        found.append(cyrillic & reduce(or_, [c.contains(w) for w in gated]))
+    return F.coalesce(reduce(or_, found), F.lit(False))
 
 
 def count_contained(c: Column, words: Iterable[str]) -> Column:
@@ -63,19 +86,23 @@ def before_each(steps: Column, field: str) -> Column:
 def spans(c: Column, rx: str) -> Column:
     """Every match with its 0-based offset: the lengths of matches and of what is between them, summed along the row.
 
-    Rows without a match skip the split.
+    Rows without a match skip the sums.
     """
     found = F.regexp_extract_all(c, F.lit(rx), F.lit(0))
-    gaps = F.slice(F.split(c, rx, -1), F.lit(1), F.size(found))
-    steps = F.zip_with(found, gaps, lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap"), (F.length(gap) + F.length(m)).alias("all")))
-    place = lambda s: F.zip_with(s, before_each(s, "all"), lambda x, upto: F.struct(x["m"].alias("m"), (upto + x["gap"]).alias("pos")))
-    some = once(steps, place)
+    # each match with what is between it and the one before; a split would compile the pattern for every row
+    upto = F.regexp_extract_all(c, F.lit(rf"(?s)\G.*?(?:{rx})"), F.lit(0))
+    steps = F.zip_with(found, upto, lambda m, u: F.struct(m.alias("m"), (F.length(u) - F.length(m)).alias("gap"), F.length(u).alias("all")))
+    at = lambda x, ahead: F.struct(x["m"].alias("m"), (ahead + x["gap"]).alias("pos"))
+    many = lambda s: F.zip_with(s, before_each(s, "all"), at)
+    some = once(steps, lambda s: F.when(F.size(s) > 1, many(s)).otherwise(F.transform(s, lambda x: at(x, F.lit(0)))))
     return F.when(F.coalesce(c.rlike(rx), F.lit(False)), some).otherwise(F.array().cast(SPAN))
 
 
-def in_context(c: Column, low: Column, rx: str, words: Iterable[str], width: int, test: Callable[[Column], Column] | None = None) -> Column:
+def in_context(
+    c: Column, low: Column, rx: str, words: Iterable[str], width: int, test: Callable[[Column], Column] | None = None, cyrillic: Column | None = None
+) -> Column:
     """Spans with any of ``words`` within ``width`` characters of the match's start, in ``low``."""
-    near = any_of(words)
+    near = grouped(words)
 
     def keep(x: Column) -> Column:
         a = F.greatest(x["pos"] - width, F.lit(0))
@@ -83,7 +110,7 @@ def in_context(c: Column, low: Column, rx: str, words: Iterable[str], width: int
         return ok & test(x["m"]) if test else ok
 
     found = F.filter(spans(c, rx), keep)
-    return F.when(contains_any(low, words), found).otherwise(F.array().cast(SPAN))
+    return F.when(contains_any(low, words, cyrillic), found).otherwise(F.array().cast(SPAN))
 
 
 def occurrences(c: Column, low: Column, words: Iterable[str]) -> Column:
@@ -111,9 +138,18 @@ def count_occurrences(low: Column, words: Iterable[str]) -> Column:
     return count(low, f"(?={any_of(words)})")
 
 
+def only(seen: Column, value: Column, otherwise: Column | None = None) -> Column:
+    """A number (or array) that is worked out only where ``seen``."""
+    return F.when(seen, value).otherwise(F.lit(0).cast("long") if otherwise is None else otherwise)
+
+
+def none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at the ends."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def mask(c: Column, keep: int) -> Column:
@@ -136,7 +172,7 @@ def mask_around(c: Column, span: Column, width: int = 10) -> Column:
 
 def normalize(c: Column) -> Column:
     """Form feeds and runs of blanks become one space, ends are stripped, line ends stay; null is empty."""
-    return F.coalesce(strip(F.regexp_replace(F.regexp_replace(c, "\f", " "), "[ \t]+", " ")), F.lit(""))
+    return F.coalesce(strip(F.regexp_replace(c, "[ \t\f]{2,}|[\t\f]", " ")), F.lit(""))
 
 
 def format_time(ts: Column) -> Column:

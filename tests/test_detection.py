@@ -73,3 +73,35 @@ def test_detect(spark):
     assert got[2]["reasons"] == ["fio_count=2"] and got[4]["reasons"][0] == "doc_score>=2"
     assert got[5]["reasons"] == ["empty"] and got[5]["detail"] is None and got[7]["detail"]["health"] == ["ди***оз"]
     assert detection.detect(df.limit(0)).count() == 0
+
+
+def test_step_is_worked_out_once(spark):
+    """Scores and reasons of texts of every kind at a cost that allows for millions: patterns and words are not looked for again for each use."""
+    df = spark.createDataFrame([("text", "customers.csv", "Иванов Пётр")], "top_dir string, name string, text string")
+    plan = detection.detect(df).select("reasons")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("lower(") <= 3 and plan.count("Contains(") < 150
+
+
+def test_counts_are_those_of_findings(spark):
+    texts = ["Иванов Пётр, г. Уфа 450000; диагноз диагноз вич", "e@x.ru отпечаток faceid 12.05.1990", "БИК 044525225 р/с 40817810000000000001", "ИНН 7707083893 партия", "", None]
+    df = spark.createDataFrame([("text", "a.txt", t) for t in texts], "top_dir string, name string, text string")
+    sizes = detection.with_findings(detection.detect(df)).select(*[F.size(F.col("detail")[k]).cast("long").alias(k) for k in detection.lexicon.CATEGORIES])
+    found = detection.detect(df, count_findings=True).select(*[F.col("found")[k].alias(k) for k in detection.lexicon.CATEGORIES])
+    none = lambda rows: sorted([repr([v if v != -1 else None for v in r]) for r in rows.collect()])
+    assert none(found) == none(sizes)
+
+
+def test_spans_and_blanks_by_offsets(spark):
+    texts = ["12 34", "a12", "😀12.😀34", "", None]
+    assert [[x["pos"] for x in r] for r in column(spark, texts, lambda c: M.spans(c, r"\d{2}"))] == [[0, 3], [1], [1, 5], [], []]
+    texts = [f"{b}a{b}{b}b{b}" for b in map(chr, range(0x3001)) if not 0xD800 <= ord(b) < 0xE000]
+    old = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\f", " "), "[ \t]+", " "), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    assert column(spark, texts, M.normalize) == column(spark, texts, old)
+
+
+def test_words_by_first_letters(spark):
+    texts = ["xул", "улица", "у", "г.", "г", "perdom", "", "дом", None]
+    words = ("ул", "улица", "дом", "г.", "per")
+    want = [any(w in t for w in words) if t is not None else False for t in texts]
+    assert column(spark, texts, lambda c: M.contains_any(c, words)) == want
+    assert column(spark, texts, lambda c: F.coalesce(c.rlike(M.grouped(words)), F.lit(False))) == want
